@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, ngram_join, substring_dedup
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir), words=3, percent=90)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_check(documents(spark, sf_dir))
 
@@ -29,8 +37,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op9_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op6_substring_dedup, op7_ngram_join, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_ngram_join": ngram_join.ORACLE_SQL,
+        "op10_mixing": mixing.ORACLE_SQL,
+    }

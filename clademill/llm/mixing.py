@@ -53,36 +53,15 @@ def source_targets(sizes: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), most:
     )
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    ratios: tuple[int, ...] = (1, 2, 3),
-    most: int = 3,
-) -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken (= size x copies).
-
-    Every document of a source is taken as often as its target holds the source in whole; documents whose hash lies
-    below the source's threshold are taken once more. The threshold comes from sums of sizes by source and hash
-    bucket: the boundary bucket alone is summed again by the next bits of the hash, down to LEVELS levels, and joins
-    if that brings the source nearer to its target. Nothing is sorted by hash, and a source that holds most rows
-    sends at most 2**BITS sums per task. The hash depends on the id alone, so reruns agree and a smaller target
-    takes a subset of what a larger one takes.
+def plan_mix(doc: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """doc: (source, size, digits). A row per source: source, source_size, target, whole, below. A document is taken
+    `whole` times, and once more if its digits come before `below`.
 
-    Null texts and texts without words have size 0. Null sources are one source. Rows with one id share a hash and are taken
-    alike. A source without words has target 0. An empty table gives no rows. Other columns are ignored.
+    The threshold comes from sums of sizes by source and hash bucket: the boundary bucket alone is summed again by the next
+    bits of the hash, down to LEVELS levels, and joins if that brings the source nearer to its target.
     """
-    doc = materialize(
-        docs.select(
-            F.col(f"`{id_col}`").alias("id"),
-            F.col(f"`{source_col}`").cast("string").alias("source"),
-            n_words(F.col(f"`{text_col}`")).alias("size"),
-        ).withColumn("digits", hash_digits(F.col("id")))
-    )
     sizes = materialize(doc.groupBy("source").agg(F.sum("size").alias("source_size")))
-    n_sources = sizes.count()
-    small = (lambda t: F.broadcast(t)) if n_sources <= BROADCAST_SOURCES else (lambda t: t)
+    small = _joined_as(sizes.count())
     plan = source_targets(sizes, ratios, most).select(
         "source",
         "source_size",
@@ -121,21 +100,72 @@ def mix(
                 F.concat("below", bound, F.when(F.col("b").isNotNull() & take, F.lit("~")).otherwise(F.lit(""))).alias("below"),
             )
         )
-    plan = plan.withColumnRenamed("source", "s")
-    copies = F.col("whole") + (F.col("digits") < F.col("below")).cast("long")
+    return plan.drop("budget")
+
+
+def _joined_as(n_sources: int):
+    return (lambda t: F.broadcast(t)) if n_sources <= BROADCAST_SOURCES else (lambda t: t)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, size, digits) of the documents, written once, so that texts are read once."""
+    return materialize(
+        docs.select(
+            F.col(f"`{id_col}`").alias("id"),
+            F.col(f"`{source_col}`").cast("string").alias("source"),
+            n_words(F.col(f"`{text_col}`")).alias("size"),
+        ).withColumn("digits", hash_digits(F.col("id")))
+    )
+
+
+def _copies(most: int) -> Column:
+    return F.least(F.col("whole") + (F.col("digits") < F.col("below")).cast("long"), F.lit(most))
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    ratios: tuple[int, ...] = (1, 2, 3),
+    most: int = 3,
+) -> DataFrame:
+    """One row per document: id, size, source_size, target, copies, taken (= size x copies).
+
+    Every document of a source is taken as often as its target holds the source in whole; documents whose hash lies
+    below the source's threshold are taken once more (see plan_mix). Nothing is sorted by hash, and a source that holds
+    most rows sends at most 2**BITS sums per task. The hash depends on the id alone, so reruns agree and a smaller
+    target takes a subset of what a larger one takes.
+
+    Null texts and texts without words have size 0. Null sources are one source. Rows with one id share a hash and are taken
+    alike. A source without words has target 0. An empty table gives no rows. Other columns are ignored.
+    """
+    doc = _sized(docs, id_col, text_col, source_col)
+    plan = plan_mix(doc, ratios, most).withColumnRenamed("source", "s")
     return (
-        doc.join(small(plan), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", F.least(copies, F.lit(most)))
+        doc.join(_joined_as(plan.count())(plan), F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("copies", _copies(most))
         .select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix with their own columns, each as often as the mix takes it. Ids must be unique."""
-    taken = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("mix_id"), F.col("copies").alias("mix_copies"))
-    joined = docs.join(taken.where("mix_copies > 0"), F.col(f"`{id_col}`") == F.col("mix_id"))
-    again = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return again.select(*[again[f"`{c}`"] for c in docs.columns])
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    ratios: tuple[int, ...] = (1, 2, 3),
+    most: int = 3,
+) -> DataFrame:
+    """The documents of the mix with their own columns, each as often as the mix takes it: the small table of thresholds
+    comes to the documents, so that no text is shuffled. Nulls, repeated rows and empty tables as in mix."""
+    plan = plan_mix(_sized(docs, id_col, text_col, source_col), ratios, most)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).select(
+        "doc", hash_digits(F.col(f"doc.`{id_col}`")).alias("digits"), F.col(f"doc.`{source_col}`").cast("string").alias("source")
+    )
+    plan = plan.select(F.col("source").alias("s"), "whole", "below")
+    joined = row.join(_joined_as(plan.count())(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(most))
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 ORACLE_SQL = """

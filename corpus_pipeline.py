@@ -6,14 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clademill.llm import bpe, exact_dedup, mixing
+from clademill.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from clademill.llm.common import shared_dir
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs, words=5, percent=80)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
@@ -22,7 +30,13 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode_and_check(docs)
 
 
-STAGES = [("exact dedup", dedup_stage), ("mixing", mix_stage), ("bpe", encode_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", dedup_stage),
+    ("near duplicates", near_stage),
+    ("mixing", mix_stage),
+    ("bpe", encode_stage),
+]
 
 #: SQL can express neither the trained classifier nor the tokenizer.
 ORACLE_SQL = None

@@ -66,8 +66,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents that exact_dedup keeps, with their own columns. Of rows that share an id, those with a dropped text go."""
     found = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
     lost = materialize(found.select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_sha")).distinct())
-    sha = F.sha2(normalized(F.col(f"`{text_col}`")), 256)
-    return docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("lost_id")) & (sha == F.col("lost_sha")), "left_anti")
+    sha = F.sha2(normalized(docs[f"`{text_col}`"]), 256)
+    return docs.join(lost, docs[f"`{id_col}`"].eqNullSafe(lost["lost_id"]) & (sha == lost["lost_sha"]), "left_anti")
 
 
 ORACLE_SQL = """

@@ -271,22 +271,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with their own columns, of each component the one with the least id."""
     found = ngram_components(docs, id_col, text_col, words, percent)
     lost = materialize(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("lost_id")).distinct())
-    return docs.join(lost, F.col(f"`{id_col}`") == F.col("lost_id"), "left_anti")
+    return docs.join(lost, docs[f"`{id_col}`"] == lost["lost_id"], "left_anti")
 
 
 ORACLE_SQL = """
 with recursive d as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
   from documents
 ), s as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
   from d
 ), n as (select doc_id, count(*) as n from s group by 1),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 l as (
-  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both >= 90 * (na.n + nb.n - both)
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 90 * (na.n + nb.n - common)
 ), e as (select a, b from l union select b, a from l),
 r(doc_id, c) as (select doc_id, doc_id from n union select e.b, r.c from r join e on e.a = r.doc_id where r.c < e.b)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce((select min(c) from r where r.doc_id = d.doc_id), d.doc_id) as component_id

@@ -260,7 +260,7 @@ def substring_dedup(
 
 ORACLE_SQL = """
 with recursive d as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
 ), p as (
   select doc_id, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50
 ), x as (
@@ -270,6 +270,6 @@ c as (select x.doc_id, x.i from x join f on f.h = x.h where f.first < x.doc_id),
 cw as (select distinct doc_id, unnest(range(i, i + 50)) as k from c),
 g as (select doc_id, list(k) as ks, count(*) as n from cw group by 1)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(g.n, 0) as bigint) as n_removed,
-  sha256(array_to_string(case when g.n is null then d.w else list_filter(d.w, (v, k) -> not list_contains(g.ks, k)) end, ' ')) as kept_sha256
+  sha256(array_to_string(case when g.n is null then d.w else list_filter(d.w, lambda v, k: not list_contains(g.ks, k)) end, ' ')) as kept_sha256
 from d left join g on g.doc_id = d.doc_id
 """

@@ -14,6 +14,8 @@ from .common import held_out, materialize
 
 #: Documents of each label to learn from; sentences of each label; landmarks; rounds in which hard clean units are added.
 FIT_DOCS, FIT_SENTENCES, LANDMARKS, HARD_ROUNDS = 6000, 6000, 96, 2
+#: Landmarks that may share their first letters.
+ALIKE = 6
 #: Letters of a subsequence, decay for each skipped letter, span up to which subsequences count.
 LETTERS, DECAY, SPAN = 3, 0.6, 6
 #: Longest unit that is compared at once, and the step of the windows that cover longer ones.
@@ -35,8 +37,8 @@ def clean(token: str) -> str:
 
 
 def cover(word: str) -> list[str]:
-    """The word with a mark before it, or windows that cover it whole if it is long."""
-    unit = f"^{word}"
+    """The word between marks of its ends, or windows that cover it whole if it is long."""
+    unit = f"^{word}$"
     if len(unit) <= WIDTH:
         return [unit]
     starts = [*range(0, len(unit) - WIDTH, STEP), len(unit) - WIDTH]
@@ -48,8 +50,8 @@ def spelled(text: str) -> list[str]:
     out = []
     for m in _SPELLED.finditer(text):
         run = [clean(t) for t in m[0].split()]
-        out += ["^" + "".join(run[i : i + n]) for i in range(len(run)) for n in range(3, min(WIDTH, len(run) - i) + 1)]
-    return [u for u in out if LETTERS < len(u) <= WIDTH]
+        out += ["^" + "".join(run[i : i + n]) + "$" for i in range(len(run)) for n in range(3, min(WIDTH, len(run) - i) + 1)]
+    return [u for u in out if LETTERS + 1 < len(u) <= WIDTH]
 
 
 def units(text: str) -> list[str]:
@@ -59,10 +61,11 @@ def units(text: str) -> list[str]:
 
 
 def encode(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (n, WIDTH) and lengths of units: a letter or digit has a symbol of its own, others share 28."""
+    """Symbols (n, WIDTH) and lengths of units: a letter or digit has a symbol of its own, the marks too, others share 26."""
     n = np.fromiter(map(len, some), np.int64, len(some))
     points = np.frombuffer("".join(u.ljust(WIDTH, "\0") for u in some).encode("utf-32-le"), np.uint32).reshape(-1, WIDTH).astype(np.int64)
-    out = 36 + points % 28
+    out = 38 + points % 26
+    out = np.where(points == 94, 36, np.where(points == 36, 37, out))  # the marks
     out = np.where((points >= 97) & (points <= 122), points - 97, out)
     return np.where((points >= 48) & (points <= 57), points - 48 + 26, out), n
 
@@ -99,17 +102,32 @@ def kernel(some: list[str], table: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Decision values of texts: the largest of their units'. Remembers tokens."""
+    """Judges texts by the decision values of their units. Remembers tokens."""
 
-    def __init__(self, table: np.ndarray, bias: float, slope: float, shift: float, keep: int = 400_000):
-        self.table, self.bias, self.slope, self.shift, self.keep = table, bias, slope, shift, keep
+    def __init__(self, table: np.ndarray, bias: float, curve: tuple[np.ndarray, float, float] | None = None, keep: int = 400_000):
+        self.table, self.bias, self.curve, self.keep = table, bias, curve, keep
         self.known: dict[str, float] = {}
 
     def decide(self, some: list[str]) -> np.ndarray:
         return kernel(some, self.table[:, None])[:, 0] + self.bias
 
-    def texts(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.bias, float)
+    def _learn(self, new: list[str]) -> None:
+        pieces, owner = [], []
+        for i, t in enumerate(new):
+            word = clean(t)
+            if len(word) >= LETTERS:
+                some = cover(word)
+                pieces += some
+                owner += [i] * len(some)
+        value = np.full(len(new), self.bias)
+        if pieces:
+            np.maximum.at(value, owner, self.decide(pieces))
+        self.known.update(zip(new, value.tolist(), strict=True))
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """A row for each whole text: words that decide for toxic, distinct ones, all words, the sum of all words' weights from 0 to 1
+        by decision value, and the two highest decision values."""
+        out = np.zeros((len(texts), 6))
         start = 0
         while start < len(texts):
             end, chars = start, 0
@@ -117,31 +135,44 @@ class Scorer:
                 chars += len(texts[end])
                 end += 1
             block = [t.split() for t in texts[start:end]]
-            known = self.known
-            new = list(set().union(*block).difference(known))
-            if len(known) + len(new) > self.keep:
-                known.clear()
+            new = list(set().union(*block).difference(self.known))
+            if len(self.known) + len(new) > self.keep:
+                self.known.clear()
                 new = list(set().union(*block))
-            pieces, owner = [], []
-            for i, t in enumerate(new):
-                word = clean(t)
-                if len(word) >= LETTERS:
-                    some = cover(word)
-                    pieces += some
-                    owner += [i] * len(some)
-            value = np.full(len(new), self.bias)
-            if pieces:
-                np.maximum.at(value, owner, self.decide(pieces))
-            known.update(zip(new, value.tolist(), strict=True))
+            self._learn(new)
+            look_up = self.known.__getitem__
             for k, tokens in enumerate(block):
-                best = max(map(known.__getitem__, tokens), default=self.bias)
+                value = np.fromiter(map(look_up, tokens), float, len(tokens))
+                kinds = {t for t, hit in zip(tokens, value > 0, strict=True) if hit} if len(value) and value.max() > 0 else ()
+                hits, types = (value > 0).sum(), len({*map(clean, kinds)})
                 some = spelled(texts[start + k])
-                out[start + k] = max(best, float(self.decide(some).max())) if some else best
+                if some and (decided := self.decide(some)).max() > 0:
+                    hits, types = hits + 1, types + 1
+                    value = np.append(value, decided.max())
+                top = np.sort(value)[::-1][:2].clip(-1, 1)
+                out[start + k] = (hits, types, len(tokens), (np.clip(value, -0.5, 0.5) + 0.5).sum(), *top, *[-1.0] * (2 - len(top)))
             start = end
         return out
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -40, 40)))
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        weights, *rates = self.curve
+        return 1 / (1 + np.exp(-np.clip(evidence(features, *rates) @ weights[:-1] + weights[-1], -40, 40)))
+
+
+def evidence(features: np.ndarray, toxic: float, clean: float) -> np.ndarray:
+    """Columns for the logistic curve. toxic and clean: such words for each word of documents of either label; the first column
+    is the log likelihood ratio of as many of them among so many words."""
+    hits, types, words, soft, first, second = features.T
+    few = np.minimum(types, 6)
+    counted = np.minimum(hits, 3 * types)  # a line that is repeated counts little
+    ratio = np.clip(counted * np.log(toxic / clean) - words * (toxic - clean), -12, 12)
+    return np.stack(
+        [
+            ratio, np.log1p(hits), np.log1p(types), few, few >= 2, np.log((types + 0.2) / (words + 20)), np.log((soft + 0.2) / (words + 20)),
+            np.minimum(words, 1000) / 100, np.log(words + 20), first, second,
+        ],
+        1,
+    )
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> np.ndarray:
@@ -162,25 +193,37 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1
 
 
 def _variants(unit: str, rng: np.random.Generator) -> list[str]:
-    """The unit with letters inserted or doubled, as disguised words have."""
-    out = []
+    """The unit's word with letters inserted or doubled, as disguised words have."""
+    out, word = [], unit.strip("^$")
     for _ in range(4):
-        at = int(rng.integers(1, len(unit)))
+        at = int(rng.integers(1, len(word)))
         letter = "abcdefghijklmnopqrstuvwxyz0123456789"[int(rng.integers(36))]
-        out.append((unit[:at] + letter + unit[at:])[:WIDTH])
-        out.append((unit[:at] + unit[at - 1] + unit[at:])[:WIDTH])
+        out += [cover(word[:at] + letter + word[at:])[0], cover(word[:at] + word[at - 1] + word[at:])[0]]
     return out
 
 
-def _calibrated(decision: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through decisions of labelled documents (Newton's steps)."""
-    x = np.stack([decision, np.ones_like(decision)], 1)
-    b = np.array([1.0, 0.0])
+def _calibrated(features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Weights (the constant last) of the logistic curve through labelled documents' features (Newton's steps), and rates for
+    evidence()."""
+    rates = [(features[toxic == y, 0].sum() + r) / (features[toxic == y, 2].sum() + 1000) for y, r in ((1, 2), (0, 0.5))]
+    rates = (max(rates[0], 1.5 * rates[1]), rates[1])
+    x = evidence(features, *rates)
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    penalty = np.full(z.shape[1], 3e-4 * len(x))
+    penalty[-1] = 1e-6 * len(x)
+    b = np.zeros(z.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-3]) * weight.sum()
-        b = b + np.linalg.solve(h, x.T @ (weight * (toxic - p)) - 1e-3 * weight.sum() * b * [1, 0])
-    return float(max(b[0], 1e-6)), float(b[1])
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        b = b + np.linalg.solve(h, z.T @ (toxic - p) - penalty * b)
+    return np.append(b[:-1] / scale, b[-1] - (b[:-1] / scale * mean).sum()), *rates
+
+
+def _constant(probability: float) -> Scorer:
+    weights = np.zeros(12)
+    weights[-1] = np.log(probability / (1 - probability))
+    return Scorer(np.zeros(SYMBOLS**LETTERS, np.float32), -1.0, (weights, 0.02, 0.01))
 
 
 def fit(train: DataFrame, seed: int = 0) -> Scorer:
@@ -194,7 +237,7 @@ def fit(train: DataFrame, seed: int = 0) -> Scorer:
     rng = np.random.default_rng(seed)
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
-        return Scorer(np.zeros(SYMBOLS**LETTERS, np.float32), 0.0, 1.0, -3.0 if n.get(0) else 0.0)
+        return _constant(0.05 if n.get(0) else 0.5)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,17 +260,19 @@ def fit(train: DataFrame, seed: int = 0) -> Scorer:
     )
     seen = materialize(seen)
     rate_t, rate_c = F.col("t") / n[1], F.col("c") / n[0]
-    # log likelihood ratio against one rate for both labels; by chance, few of all units come above the log of their number
+    # log likelihood ratio against one rate for both labels; by chance, few of the units compared come above the log of their number
     both, p = F.col("t") + F.col("c"), n[1] / (n[1] + n[0])
     z = F.col("t") * F.log(F.col("t") / (both * p)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - p)))).otherwise(0.0)
-    least = float(np.log(max(2, seen.count()))) + 1
+    least = float(np.log(max(2, seen.where("t >= 3").count()))) + 1
     ranked = seen.where("t >= 3").where(rate_t >= 8 * rate_c).select("unit", z.alias("z")).where(F.col("z") >= least)
     witness = {r["unit"]: r["z"] for r in ranked.orderBy(F.desc("z"), "unit").limit(1500).collect()}
     ordinary = [r["unit"] for r in seen.where("t + c >= 1 and c > 0").orderBy(F.md5("unit")).limit(30_000).select("unit").collect()]
     common = [r["unit"] for r in seen.where("c > 0").orderBy(F.desc("c"), "unit").limit(5_000).select("unit").collect()]
     if not witness:
-        return Scorer(np.zeros(SYMBOLS**LETTERS, np.float32), 0.0, 1.0, float(np.log(n[1] / n[0])))
-    strong = list(witness)[: LANDMARKS * 2 // 3]
+        return _constant(min(0.5, n[1] / (n[1] + n[0])))
+    # landmarks differ: few of them begin alike
+    begins: dict[str, int] = {}
+    strong = [u for u in witness if (begins.update({u[:5]: begins.get(u[:5], 0) + 1}) or begins[u[:5]]) <= ALIKE][: LANDMARKS * 2 // 3]
     marks = strong + common[: LANDMARKS - len(strong)]
     base = feature_map(marks)
     gram = (base @ base.T).astype(float)
@@ -268,32 +313,29 @@ def fit(train: DataFrame, seed: int = 0) -> Scorer:
         bias = float(w[-1])
         if turn == HARD_ROUNDS:
             break
-        scorer = Scorer(table, bias, 1, 0)
+        scorer = Scorer(table, bias)
         flat = [u for s in toxic for u in s]
         score = dict(zip(flat, scorer.decide(flat).tolist(), strict=True))
         picked = [max(s, key=lambda u: (u in witness, score[u])) for s in toxic]
         current = spark.sparkContext.broadcast((table, bias))
 
         def rate(batches: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
-            s = Scorer(*current.value, 1, 0)
+            s = Scorer(*current.value)
             for batch in batches:
                 yield batch.assign(value=s.decide(batch["unit"].tolist())) if len(batch) else batch.assign(value=0.0)
 
         hard = seen.where("c >= 2 or t = 0").where("c > 0").select("unit").mapInPandas(rate, "unit string, value float")
         hard = [r["unit"] for r in hard.where("value > -0.9").orderBy(F.desc("value"), "unit").limit(3000).collect()]
         negative = list(dict.fromkeys(negative + [u for u in hard if u not in witness]))
-    scorer = Scorer(table, bias, 1, 0)
     model = spark.sparkContext.broadcast((table, bias))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Scorer(*model.value, 1, 0)
+        s = Scorer(*model.value)
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "value": s.texts(batch["text"].tolist())})
+            yield pd.DataFrame({"y": batch["y"], "x": list(s.features(batch["text"].tolist()))})
 
-    judged = train.select("text", "y").mapInPandas(judge, "y int, value double").toPandas()
-    y = judged["y"].to_numpy(float)
-    scorer.slope, scorer.shift = _calibrated(judged["value"].to_numpy(), y, np.ones(len(y)))
-    return scorer
+    judged = train.select("text", "y").mapInPandas(judge, "y int, x array<double>").toPandas()
+    return Scorer(table, bias, _calibrated(np.stack(judged["x"]), judged["y"].to_numpy(float)))
 
 
 def toxicity(
@@ -301,8 +343,8 @@ def toxicity(
 ) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= 0.7).
 
-    A text is judged by its most suspicious unit: a word without separators, a window of a long word, or a word spelled
-    out in single letters. Units are compared with landmarks by shared subsequences of three letters, each skipped letter costing a
+    A text is judged by its suspicious units, their number, share and decision values: a unit is a word without separators, a window
+    of a long word, or a word spelled out in single letters. Units are compared with landmarks by shared subsequences of three letters, each skipped letter costing a
     factor, so that gaps and inserted letters lower the similarity without ending it. As the kernel's features are few,
     the machine's sum over landmarks is one table over subsequences.
 
@@ -318,13 +360,13 @@ def toxicity(
     # at most 2 * fit_docs ids, whatever the input
     train = materialize(rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("id") == F.col("label_id")).select("id", "text", "y"))
     s = fit(train)
-    model = docs.sparkSession.sparkContext.broadcast((s.table, s.bias, s.slope, s.shift))
+    model = docs.sparkSession.sparkContext.broadcast((s.table, s.bias, s.curve))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(*model.value)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "score": scorer.probability(scorer.texts(batch["text"].tolist()))})
+            yield pd.DataFrame({"id": batch["id"], "score": scorer.probability(scorer.features(batch["text"].tolist()))})
 
     scored = rows.mapInPandas(run, f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted"))
@@ -333,4 +375,4 @@ def toxicity(
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that aren't predicted toxic, with their own columns."""
     bad = materialize(toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("bad_id")).distinct())
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("bad_id"), "left_anti")
+    return docs.join(bad, docs[f"`{id_col}`"] == bad["bad_id"], "left_anti")

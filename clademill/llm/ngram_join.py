@@ -17,6 +17,8 @@ from .components import components
 NO_ID = 2**63 - 1
 #: Bits of the table of shingle counts that orders shingles, and its blocks; buckets of a set's signature; bits of the table of ids.
 ORDER_BITS, ORDER_BLOCK, BUCKETS, ID_BITS = 22, 1 << 16, 64, 24
+#: Rounds of comparisons with pivots, and members up to which a list has the first of them only.
+ROUNDS, SHORT_LIST = 5, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,14 +55,26 @@ def _order(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Sets(k)
         counts = np.zeros(1 << ORDER_BITS, np.uint16)
+        pending: list[np.ndarray] = []
+        held = 0
+
+        def add_pending() -> None:
+            at, n = np.unique(np.concatenate(pending), return_counts=True)
+            counts[at] += np.minimum(n, 65535 - counts[at]).astype(np.uint16)
+
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 s = sets.of(text)
                 rows.append((i, len(s), _digest(s)))
-                at, n = np.unique(s >> np.uint64(64 - ORDER_BITS), return_counts=True)
-                counts[at] += np.minimum(n, 65535 - counts[at]).astype(np.uint16)
+                pending.append((s >> np.uint64(64 - ORDER_BITS)).astype(np.int32))
+                held += len(s)
+                if held >= 1_000_000:
+                    add_pending()
+                    pending, held = [], 0
             yield pd.DataFrame(rows, columns=["id", "n", "cls"]).assign(block=None, counts=None)
+        if pending:
+            add_pending()
         blocks = counts.reshape(-1, ORDER_BLOCK)
         rows = [(b, zlib.compress(blocks[b].tobytes(), 1)) for b in range(len(blocks)) if blocks[b].any()]
         yield pd.DataFrame(rows, columns=["block", "counts"]).assign(id=None, n=None, cls=None)[["id", "n", "cls", "block", "counts"]]
@@ -158,7 +172,6 @@ def ngram_components(
     postings = materialize(expanded.select("token", "id").distinct())
     if postings.isEmpty():
         return _answer(every, None, id_col)
-    sets = materialize(_sets_of(doc, vertex.select("id"), classes, words))
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,61 +180,83 @@ def ngram_components(
                 both = np.minimum(x, y).sum(1)
                 yield batch.loc[100 * both >= percent * (x.sum(1) + y.sum(1) - both), ["a", "b"]]
 
-    checked = None
-    links = None
-    labels = None
-    first = True
-    while True:
-        member = postings.join(vertex, "id")
-        if labels is None:
-            member = member.withColumn("component", F.col("id"))
-        else:
-            mine = labels.select(F.col("id").alias("l_id"), F.col("component").alias("l"))
-            member = member.join(mine, F.col("id") == F.col("l_id"), "left").withColumn("component", F.coalesce("l", "id")).drop("l", "l_id")
-        member = materialize(member.select("token", "id", "size", "weight", "component"))
-        sizes = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("weight", "id", "size")).alias("top"))
-        lists = sizes.groupBy("token").agg(
-            F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1")
-        lists = materialize(lists)
-        cost = lists.agg(F.sum(F.col("all") - F.col("main.m")), F.sum((F.col("all") - F.col("main.m")) * F.col("all")), F.sum("all")).first()
-        if not cost[0]:
-            break
-        main = lists.select(F.col("token").alias("t"), F.col("main.component").alias("largest"))
-        last = not first and cost[1] <= 8 * cost[2] + 200_000
-        if last:
-            # everything outside a list's largest component meets everything of another component
-            pivots = member.join(main, (F.col("token") == F.col("t")) & (F.col("component") != F.col("largest")))
-        else:
-            outside = F.lit(True) if first else F.col("component") != F.col("largest")
-            tops = sizes.join(main, F.col("token") == F.col("t")).where(outside).groupBy("token").agg(F.max(F.struct("top", "component")).alias("p"))
-            pivots = tops.select("token", F.col("p.top.id").alias("id"), F.col("p.top.size").alias("size"), F.col("p.component").alias("component"))
-        pivots = materialize(pivots.select(F.col("token").alias("pt"), F.col("id").alias("p"), F.col("size").alias("ps"), F.col("component").alias("pc")))
-        fits = (100 * F.least("size", "ps") >= percent * F.greatest("size", "ps")) & (F.col("component") != F.col("pc"))
-        pairs = (
-            member.join(pivots, F.col("token") == F.col("pt"))
-            .where(fits)
-            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-            .distinct()
-        )
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        checked = pairs if checked is None else checked.union(pairs)
+    def compare(pairs: DataFrame) -> DataFrame:
+        """The similar ones of the pairs (a, b): bucket counts first, then whole sets, of the documents in these pairs alone."""
         x = vertex.select(F.col("id").alias("xi"), F.col("sig").alias("x"))
         y = vertex.select(F.col("id").alias("yi"), F.col("sig").alias("y"))
         hopeful = materialize(
             pairs.join(x, F.col("a") == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInPandas(possible, "a long, b long")
         )
-        new = materialize(_near(hopeful, sets, percent))
+        ids = hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct()
+        sets = materialize(_sets_of(doc, materialize(ids), classes, words))
+        return materialize(_near(hopeful, sets, percent))
+
+    lists = materialize(postings.join(vertex, "id").select("token", "id", "size", "weight"))
+    long_lists = lists.groupBy("token").count().where(F.col("count") > SHORT_LIST).select("token")
+    labels = links = checked = None
+    for turn in range(ROUNDS):
+        if turn == 1:  # lists of a few members wait for the last round
+            long_lists = materialize(long_lists)
+            some = materialize(lists.join(long_lists, "token", "left_semi"))
+        pivots = _pivots(_labelled(lists if turn == 0 else some, labels), turn)
+        if turn and pivots.isEmpty():
+            break
+        pairs = materialize(_pairs(_labelled(lists if turn == 0 else some, labels), pivots, percent, checked))
+        checked = pairs if checked is None else checked.union(pairs)
+        new = compare(pairs)
         links = new if links is None else links.union(new)
-        labels = components(links)
-        first = False
-        if last:
+        if turn and new.isEmpty():
             break
+        labels = components(links)
+    every_member = materialize(_labelled(lists, labels))
+    sizes = every_member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = materialize(mixed.select(F.col("token").alias("t"), F.col("main.component").alias("largest")))
+    outside = every_member.join(mixed, (F.col("token") == F.col("t")) & (F.col("component") != F.col("largest")))
+    pairs = materialize(_pairs(every_member.join(mixed, F.col("token") == F.col("t"), "left_semi"), _named(outside), percent, checked))
+    labels = components(links.union(compare(pairs)))
     return _answer(every, labels, id_col)
 
 
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists' rows with each member's component so far."""
+    if labels is None:
+        return lists.withColumn("component", F.col("id"))
+    mine = labels.select(F.col("id").alias("l_id"), F.col("component").alias("l"))
+    found = lists.join(mine, F.col("id") == F.col("l_id"), "left")
+    return found.select("token", "id", "size", "weight", F.coalesce("l", "id").alias("component"))
+
+
+def _named(member: DataFrame) -> DataFrame:
+    return member.select(F.col("token").alias("pt"), F.col("id").alias("p"), F.col("size").alias("ps"), F.col("component").alias("pc"))
+
+
+def _pivots(member: DataFrame, turn: int) -> DataFrame:
+    """A pivot for each list of several components: the member of the largest weight; in later rounds one from outside the
+    largest component, drawn by a hash that changes with the round."""
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("weight"), "id", "size") if turn else F.struct("weight", "id", "size")
+    sizes = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max(order).alias("top"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = lists.select(F.col("token").alias("t"), F.col("main.component").alias("largest"))
+    allowed = F.col("component") != F.col("largest") if turn else F.lit(True)
+    tops = sizes.join(main, F.col("token") == F.col("t")).where(allowed).groupBy("token").agg(F.max(F.struct("top", "component")).alias("p"))
+    return materialize(
+        tops.select(F.col("token").alias("pt"), F.col("p.top.id").alias("p"), F.col("p.top.size").alias("ps"), F.col("p.component").alias("pc"))
+    )
+
+
+def _pairs(member: DataFrame, pivots: DataFrame, percent: int, checked: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of a list's members and pivots of other components whose sizes allow the similarity, without those that
+    were compared before. Lists are cut by bands of size, so that a long one meets itself only where sizes fit."""
+    width = float(np.log(100 / percent)) if percent < 100 else 1e-9
+    band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(width)).cast("long")
+    near = pivots.withColumn("pb", F.explode(F.array(*[band("ps") + F.lit(k) for k in (-1, 0, 1)])))
+    fits = (100 * F.least("size", "ps") >= percent * F.greatest("size", "ps")) & (F.col("component") != F.col("pc"))
+    met = member.withColumn("band", band("size")).join(near, (F.col("token") == F.col("pt")) & (F.col("band") == F.col("pb")) & fits)
+    pairs = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    return pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
+
+
 def _sets_of(doc: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(id, items) for the wanted ids' classes. A bitmap of their hashes, of fixed size, spares most other documents
     the way; the join then takes exactly the wanted ones."""

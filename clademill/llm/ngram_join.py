@@ -18,7 +18,7 @@ NO_ID = 2**63 - 1
 #: Bits of the table of shingle counts that orders shingles, and its blocks; buckets of a set's signature; bits of the table of ids.
 ORDER_BITS, ORDER_BLOCK, BUCKETS, ID_BITS = 22, 1 << 16, 64, 24
 #: Rounds of comparisons with pivots, and members up to which a list has the first of them only.
-ROUNDS, SHORT_LIST = 5, 64
+ROUNDS, SHORT_LIST = 2, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -22,7 +22,7 @@ def phylip(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     first = F.split(F.trim(lines[0]), r"\s+")
-    rows = files.select("file", first[0].cast("int").alias("n"), first[1].cast("int").alias("sites"), F.posexplode(F.slice(lines, 2, 2**31 - 1)).alias("p", "line"))
+    rows = files.select("file", first[0].cast("int").alias("n"), first[1].cast("int").alias("sites"), F.posexplode(F.filter(lines, lambda x, k: k > 0)).alias("p", "line"))
     rows = rows.withColumn("taxon_id", (F.col("p") % F.col("n") + 1).cast("int")).withColumn("turn", F.floor(F.col("p") / F.col("n")))
     name = F.regexp_extract(F.trim("line"), r"^\S+", 0)
     part = F.when(F.col("turn") == 0, F.regexp_replace(F.trim("line"), r"^\S+", "")).otherwise(F.col("line"))

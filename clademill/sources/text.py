@@ -19,7 +19,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 def phylip(spark: SparkSession, path: str) -> DataFrame:
     """(file, taxon_id, name, seq) of relaxed PHYLIP files, sequential or interleaved: a file is one row, as its lines depend on one
     another; many files spread over tasks."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     first = F.split(F.trim(lines[0]), r"\s+")
     rows = files.select("file", first[0].cast("int").alias("n"), first[1].cast("int").alias("sites"), F.posexplode(F.filter(lines, lambda x, k: k > 0)).alias("p", "line"))
@@ -60,19 +60,19 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 def site_weights(spark: SparkSession, path: str) -> DataFrame:
     """(site, weight): the numbers of a weight file in order."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("p", "w")).select((F.col("p") + 1).alias("site"), F.col("w").cast("int").alias("weight"))
 
 
 def structure(spark: SparkSession, path: str) -> DataFrame:
     """(site, symbol) of a secondary-structure line."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\s", "").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\s", "").alias("v"))
     return text.select(F.posexplode(F.split("v", "")).alias("p", "symbol")).where("symbol <> ''").select((F.col("p") + 1).alias("site"), "symbol")
 
 
 def groups(spark: SparkSession, path: str) -> DataFrame:
     """(group_id, name) of a quartet grouping '(a,b),(c),(d),(e);'."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     found = text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"\(([^()]*)\)"), 1)).alias("g", "names"))
     return found.select((F.col("g") + 1).alias("group_id"), F.explode(F.split("names", ",")).alias("name")).select("group_id", F.trim("name").alias("name"))
 

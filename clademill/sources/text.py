@@ -61,7 +61,7 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
 def site_weights(spark: SparkSession, path: str) -> DataFrame:
     """(site, weight): the numbers of a weight file in order."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("p", "w")).select((F.col("p") + 1).alias("site"), F.col("w").cast("int").alias("weight"))
+    return text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(\d+)"), 1)).alias("p", "w")).select((F.col("p") + 1).alias("site"), F.col("w").cast("int").alias("weight"))
 
 
 def structure(spark: SparkSession, path: str) -> DataFrame:

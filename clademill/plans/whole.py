@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import _SQL, query
 from ..functions.models import gtr, jukes_cantor
 from ..operators import alignment, likelihood, parsimony, splits, statistics
+from ..sources import trees
 from . import derived as d
 from . import queries as q
 
@@ -217,3 +218,17 @@ def placement_entropy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_by_vector("heuristic_edges", 50))
 def heuristic_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.top_edges(_placed(spark, sf_dir), 64, 0.1)
+
+
+# --- trees from text
+
+
+@query(_SQL["newick_splits"].replace(" where o_orderkey % 50 = 0", ""))
+def newick_splits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of five taxa for each order, written and read back."""
+    o = d.table(spark, sf_dir, "orders")
+    k = F.col("o_custkey") % 3
+    inner = F.when(k == 0, "((b,c),d)").when(k == 1, "((b:0.5,d)x:0.1,c)").otherwise("((c,'d'),b[note])")
+    newick = F.concat(F.lit("(a,"), inner, F.lit(",e);"))
+    found = trees.splits(o.select(F.col("o_orderkey").cast("int").alias("tree_id"), newick.alias("newick")), {n: i + 1 for i, n in enumerate("abcde")})
+    return found.select("tree_id", "split_key")

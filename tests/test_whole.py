@@ -33,3 +33,9 @@ def test_no_ranges_of_ids():
     """Neither in the SQL of these queries."""
     some = {k: v for k, v in catalog.oracle_sql().items() if k.endswith("_all")}
     assert some and not any("vec_id <" in v or "site > 61" in v or "% 50" in v for v in some.values())
+
+
+def test_every_order_is_a_tree(spark):
+    orders = pq.read_table(f"{SF}/orders.parquet", columns=["o_orderkey"])["o_orderkey"].to_pylist()
+    found = rows(spark, "newick_splits_all")
+    assert {r["tree_id"] for r in found} == set(orders) and len(found) == 2 * len(orders)

@@ -104,25 +104,27 @@ def jukes_cantor_site(codes: list[Column], branches: list[float]) -> Column:
     return 0.25 * (terms[0] + terms[1] + terms[2] + terms[3])
 
 
-def optimised(tree: Node, tips: dict[str, np.ndarray], weight: np.ndarray, model: Model, rounds: int = 4) -> tuple[float, Node]:
-    """The tree with each branch in turn at its best length (golden sections on the logarithm), until rounds gain less than 0.01."""
+def optimised(tree: Node, tips: dict[str, np.ndarray], weight: np.ndarray, model: Model) -> tuple[float, Node]:
+    """The tree with each branch in turn at its best length (golden sections on the logarithm), until a round gains less than 0.01. Rounds
+    end, as no log likelihood is above 0."""
     every = [n for _, n in masks(tree, _Any()) if n is not tree]
     for n in every:
         n.length = min(max(n.length if n.length is not None else 0.1, SHORTEST), LONGEST)
     value = lambda: float(weight @ log_likelihoods(tree, tips, model))
     best = value()
-    for _ in range(rounds):
+    before = -math.inf
+    while best - before >= 0.01:
         before = best
         for n in every:
             best = max(best, _line(n, value))
-        if best - before < 0.01:
-            break
     return best, tree
 
 
-def _line(n: Node, value) -> float:
+def _line(n: Node, value, longest: float = LONGEST) -> float:
+    """The best value over lengths of a branch up to longest, both ends and the present length included."""
     ratio, kept, start = (5**0.5 - 1) / 2, n.length, value()
-    low, high = np.log(SHORTEST), np.log(10.0)
+    ends = (SHORTEST, longest)
+    low, high = np.log(ends)
 
     def at(x: float) -> float:
         n.length = float(np.exp(x))
@@ -139,10 +141,13 @@ def _line(n: Node, value) -> float:
             high, b, fb = b, a, fa
             a = high - ratio * (high - low)
             fa = at(a)
-    found = at((low + high) / 2)
+    found, length = at((low + high) / 2), n.length
+    for n.length in ends:
+        if (new := value()) > found:
+            found, length = new, n.length
     if found < start:
-        n.length = kept
-        return start
+        found, length = start, kept
+    n.length = length
     return found
 
 
@@ -270,13 +275,13 @@ def neighbours(tree: Node) -> Iterator[str]:
             n.children[i], p.children[j] = c, other
 
 
-def search(patterns: DataFrame, starts: DataFrame, names: list[str], model: Model, steps: int = 20) -> DataFrame:
+def search(patterns: DataFrame, starts: DataFrame, names: list[str], model: Model) -> DataFrame:
     """(tree_id, lnl, newick): hill climbing by exchanges across inner edges from each start tree, until none is better. In every step all
     neighbours of all searches are rows that one job evaluates."""
     spark = patterns.sparkSession
     current = {r["tree_id"]: (r["lnl"], r["newick"]) for r in evaluate_trees(patterns, starts, names, model).collect()}  # a row per start
     active = set(current)
-    for _ in range(steps):
+    while active:
         rows = [(i, n) for i in sorted(active) for n in neighbours(unrooted(parse(current[i][1])))]
         if not rows:
             break
@@ -285,6 +290,4 @@ def search(patterns: DataFrame, starts: DataFrame, names: list[str], model: Mode
         better = {r["tree_id"]: (r["b"]["lnl"], r["b"]["newick"]) for r in best.collect() if r["b"]["lnl"] > current[r["tree_id"]][0] + 0.01}
         current |= better
         active = set(better)
-        if not active:
-            break
     return spark.createDataFrame([(i, *v) for i, v in sorted(current.items())], "tree_id long, lnl double, newick string")

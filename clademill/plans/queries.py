@@ -249,7 +249,7 @@ def quartet_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([(1, "(1,2,(3,(4,5)));"), (2, "(1,4,(3,(2,5)));")], "tree_id long, newick string")
-    return likelihood.search(_coded_patterns(d.cells(spark, sf_dir, 5)), start, list("12345"), jukes_cantor(), steps=4)
+    return likelihood.search(_coded_patterns(d.cells(spark, sf_dir, 5)), start, list("12345"), jukes_cantor())
 
 
 def _reference_and_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

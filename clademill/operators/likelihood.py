@@ -173,7 +173,8 @@ def evaluate_trees(patterns: DataFrame, trees: DataFrame, names: list[str], mode
 
 
 def place(patterns: DataFrame, queries: DataFrame, newick: str, names: list[str], model: Model) -> DataFrame:
-    """(query_id, edge, lnl, distal, pendant): each query at the middle of each edge of a reference tree, the new branch at its best length.
+    """(query_id, edge, lnl, distal, pendant): each query at each edge of a reference tree (numbered in post order), the new branch and both
+    parts of the edge at their best lengths in turn. distal is the part below the query, scaled so that both parts make up the edge again.
     patterns: (pattern_id, codes, weight); queries: (query_id, codes by pattern_id). Queries are rows, spread over tasks."""
     rows = patterns.orderBy("pattern_id").select("codes", "weight").collect()  # one reference alignment
     codes = np.array([r["codes"] for r in rows], np.int64).T
@@ -183,31 +184,61 @@ def place(patterns: DataFrame, queries: DataFrame, newick: str, names: list[str]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, w = shared.value
         tips = {name: tip_vectors(x) for name, x in zip(names, c, strict=True)}
-        edges = len(masks(unrooted(parse(newick)), _Any())) - 1
+        tree = unrooted(parse(newick))
+        edges = [(*_sides(tree, n, tips, model), n.length if n.length is not None else 0.1) for _, n in masks(tree, _Any()) if n is not tree]
+        same = np.prod(list(tips.values()), 0)
         for batch in batches:
             out = []
             for q, own in zip(batch["query_id"], batch["codes"], strict=True):
-                mine = {**tips, "\0query": tip_vectors(np.asarray(own, np.int64))}
-                for edge in range(edges):
-                    tree, pendant, distal = _inserted(newick, edge)
-                    lnl = _line(pendant, lambda t=tree: float(w @ log_likelihoods(t, mine, model)))
-                    out.append((q, edge, lnl, distal, pendant.length))
+                tip = tip_vectors(np.asarray(own, np.int64))
+                for edge, (below, above, length) in enumerate(edges):
+                    lnl, (low, high, pendant) = _insertion(below, above, tip, length, w, model, same)
+                    out.append((q, edge, lnl, length * low / (low + high), pendant))
             yield pd.DataFrame(out, columns=["query_id", "edge", "lnl", "distal", "pendant"])
 
     return queries.select("query_id", "codes").mapInPandas(run, "query_id long, edge int, lnl double, distal double, pendant double")
 
 
-def _inserted(newick: str, edge: int) -> tuple[Node, Node, float]:
-    """The tree with a query tip in the middle of an edge (numbered in post order), the tip, and the distance below it."""
-    tree = unrooted(parse(newick))
-    node = [n for _, n in masks(tree, _Any()) if n is not tree][edge]
-    parent = next(n for _, n in masks(tree, _Any()) if any(c is node for c in n.children))
-    half = (node.length if node.length is not None else 0.1) / 2
-    tip = Node("\0query", 0.1)
-    middle = Node("", half, [node, tip])
-    parent.children = [middle if c is node else c for c in parent.children]
-    node.length = half
-    return tree, tip, half
+_Side = tuple[np.ndarray, np.ndarray]
+
+
+def _sides(tree: Node, node: Node, tips: dict[str, np.ndarray], model: Model) -> tuple[_Side, _Side]:
+    """conditional() of both ends of the edge above a node, each without the other side."""
+    parent = {id(c): n for _, n in masks(tree, _Any()) for c in n.children}
+
+    def above(n: Node) -> Node:
+        up = parent[id(n)]
+        others = [c for c in up.children if c is not n]
+        return Node("", up.length, [*others, above(up)] if up is not tree else others)
+
+    return conditional(node, tips, model), conditional(above(node), tips, model)
+
+
+def _insertion(
+    below: _Side, above: _Side, tip: np.ndarray, length: float, weight: np.ndarray, model: Model, same: np.ndarray
+) -> tuple[float, tuple[float, float, float]]:
+    """The log likelihood with a tip at an edge, and the lengths below, above and of the tip's branch. same: states that are possible for all
+    tips of the tree at each pattern."""
+    half = min(max(length / 2, SHORTEST), LONGEST)
+    branches = [Node("", half), Node("", half), Node("", 0.1)]
+    vectors = [below[0], above[0], np.repeat(tip[:, None, :], len(model.rates), 1)]
+    scaled = below[1] + above[1]
+    constant = (same * tip) @ model.freqs * np.where(scaled > 0, 0, 1)
+    moved = lambda k: np.einsum("cij,pcj->pci", model.transition(branches[k].length), vectors[k])
+    best, before = -math.inf, -math.inf
+    while best == -math.inf or best - before >= 0.01:
+        before = best
+        for k in (2, 0, 1):
+            rest = np.prod([moved(j) for j in range(3) if j != k], 0) * model.freqs
+
+            def value(k=k, rest=rest) -> float:
+                site = (rest * moved(k)).sum((1, 2)) / len(model.rates)
+                if model.invariant:
+                    site = (1 - model.invariant) * site + model.invariant * constant
+                return float(weight @ (np.log(np.maximum(site, 1e-300)) - scaled * np.log(_RESCALE)))
+
+            best = max(best, _line(branches[k], value))
+    return best, tuple(b.length for b in branches)
 
 
 def pair_distances(cell: DataFrame) -> DataFrame:

@@ -35,3 +35,35 @@ def test_search_ends_where_no_neighbour_is_better(spark, monkeypatch):
     monkeypatch.setattr(likelihood, "neighbours", lambda tree: [f"({int(tree.children[0].name) + 1},b,c);"])
     start = spark.createDataFrame([(1, "(0,b,c);")], "tree_id long, newick string")
     assert likelihood.search(start, start, [], jukes_cantor()).first()["lnl"] == 25
+
+
+@pytest.fixture(scope="module")
+def reference():
+    rng = np.random.default_rng(3)
+    first = 2 ** rng.integers(0, 4, 60)
+    change = lambda x, share: np.where(rng.random(60) < share, 2 ** rng.integers(0, 4, 60), x)
+    second = change(first, 0.2)
+    return {"1": change(first, 0.6), "2": second, "3": change(second, 0.2), "4": change(second, 0.3)}
+
+
+def test_placement_optimises_three_branches(spark, reference):
+    names, newick, model = list("1234"), "(1:1.2,2:0.3,(3:0.3,4:0.3):0.1);", jukes_cantor()
+    codes = np.stack([reference[n] for n in names], 1).tolist()
+    patterns = spark.createDataFrame([(k, c, 1) for k, c in enumerate(codes)], "pattern_id long, codes array<int>, weight long")
+    queries = spark.createDataFrame([(7, reference["1"].tolist())], "query_id long, codes array<int>")
+    got = {r["edge"]: r for r in likelihood.place(patterns, queries, newick, names, model).collect()}
+    tree = trees.unrooted(trees.parse(newick))
+    order = [n for _, n in trees.masks(tree, likelihood._Any()) if n is not tree]
+    tips = {n: likelihood.tip_vectors(c) for n, c in reference.items()}
+    near = next(k for k, n in enumerate(order) if n.name == "1")
+    assert max(got, key=lambda e: got[e]["lnl"]) == near and got[near]["distal"] < 0.01 and got[near]["pendant"] < 0.01
+    for edge, node in enumerate(order):
+        assert 0 <= got[edge]["distal"] <= node.length
+        below, above = likelihood._sides(tree, node, tips, model)
+        lnl, (low, high, pendant) = likelihood._insertion(below, above, tips["1"], node.length, np.ones(60), model, np.ones((60, 4)))
+        assert lnl == pytest.approx(got[edge]["lnl"], abs=1e-9)
+        whole = trees.unrooted(trees.parse(newick))
+        parent, here = next((p, c) for _, p in trees.masks(whole, likelihood._Any()) for c in p.children if trees.write(c) == trees.write(node))
+        here.length = low
+        parent.children[[c is here for c in parent.children].index(True)] = trees.Node("", high, [here, trees.Node("q", pendant)])
+        assert lnl == pytest.approx(likelihood.log_likelihoods(whole, {**tips, "q": tips["1"]}, model).sum(), abs=1e-8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,13 +46,37 @@ def cover(word: str) -> list[str]:
     return [unit[s : s + WIDTH] for s in starts]
 
 
-def spelled(text: str) -> list[str]:
-    """Words that runs of single letters may spell: every stretch of 3 to WIDTH tokens of such a run, joined."""
+def spelled_runs(text: str) -> list[tuple[list[str], list[tuple[int, int, str]]]]:
+    """Runs of single letters: the tokens of each, and the words that it may spell: (start, tokens, unit) of every stretch of 3 to WIDTH tokens,
+    joined."""
     out = []
     for m in _SPELLED.finditer(text):
         run = [clean(t) for t in m[0].split()]
-        out += ["^" + "".join(run[i : i + n]) + "$" for i in range(len(run)) for n in range(3, min(WIDTH, len(run) - i) + 1)]
-    return [u for u in out if LETTERS + 1 < len(u) <= WIDTH]
+        some = [(i, n, "^" + "".join(run[i : i + n]) + "$") for i in range(len(run)) for n in range(3, min(WIDTH, len(run) - i) + 1)]
+        out.append((run, [s for s in some if LETTERS + 1 < len(s[2]) <= WIDTH]))
+    return out
+
+
+def spelled(text: str) -> list[str]:
+    """Words that runs of single letters may spell."""
+    return [u for _, some in spelled_runs(text) for _, _, u in some]
+
+
+def _apart(run: list[str], some: list[tuple[int, int, str]], value: list[float]) -> tuple[list[tuple[float, str]], int]:
+    """The stretches of a run that decide for toxic and don't overlap, by falling value, and how many words the run is: each of them is one,
+    and so are single letters between them."""
+    owner = [-1] * len(run)
+    hits: list[tuple[float, str]] = []
+    for v, n, i, u in sorted(((v, n, i, u) for (i, n, u), v in zip(some, value, strict=True) if v > 0), key=lambda s: (-s[0], -s[1], s[2])):
+        if max(owner[i : i + n]) < 0:
+            owner[i : i + n] = [len(hits)] * n
+            hits.append((v, u))
+    words = len(hits)
+    for hit, rest in itertools.groupby(range(len(run)), key=owner.__getitem__):
+        if hit < 0:
+            left = [run[k] for k in rest]
+            words += 1 if max(map(len, left)) <= 1 else len(left)
+    return hits, words
 
 
 def units(text: str) -> list[str]:
@@ -125,7 +150,7 @@ class Scorer:
         self.known.update(zip(new, value.tolist(), strict=True))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """A row for each whole text: words that decide for toxic, distinct ones, all words, the sum of all words' weights from 0 to 1
+        """A row for each whole text: words that decide for toxic, distinct ones, all words (spelled-out ones count once each), the sum of all words' weights from 0 to 1
         by decision value, and the two highest decision values."""
         out = np.zeros((len(texts), 6))
         start = 0
@@ -144,13 +169,18 @@ class Scorer:
             for k, tokens in enumerate(block):
                 value = np.fromiter(map(look_up, tokens), float, len(tokens))
                 kinds = {t for t, hit in zip(tokens, value > 0, strict=True) if hit} if len(value) and value.max() > 0 else ()
-                hits, types = (value > 0).sum(), len({*map(clean, kinds)})
-                some = spelled(texts[start + k])
-                if some and (decided := self.decide(some)).max() > 0:
-                    hits, types = hits + 1, types + 1
-                    value = np.append(value, decided.max())
+                names, words = {*map(clean, kinds)}, len(tokens)
+                if runs := spelled_runs(texts[start + k]):
+                    some = [u for _, stretches in runs for _, _, u in stretches]
+                    decided = iter(self.decide(some).tolist() if some else ())
+                    for run, stretches in runs:
+                        found, n = _apart(run, stretches, list(itertools.islice(decided, len(stretches))))
+                        value = np.append(value, [v for v, _ in found])
+                        names |= {u[1:-1] for _, u in found}
+                        words += n - len(run)
+                hits, types = (value > 0).sum(), len(names)
                 top = np.sort(value)[::-1][:2].clip(-1, 1)
-                out[start + k] = (hits, types, len(tokens), (np.clip(value, -0.5, 0.5) + 0.5).sum(), *top, *[-1.0] * (2 - len(top)))
+                out[start + k] = (hits, types, words, (np.clip(value, -0.5, 0.5) + 0.5).sum(), *top, *[-1.0] * (2 - len(top)))
             start = end
         return out
 

@@ -183,10 +183,10 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 def records_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, record): the rows of each conversation, by turn, as one JSON record. A conversation is one string in the end,
-    so its rows have to fit in memory; conversations are spread by id."""
+    so its rows have to fit in memory; conversations are spread by id. Null fields keep their names, by which mappings are found."""
     turn = F.struct(F.col("turn"), F.col("role"), F.col("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return grouped.select("conv_id", F.to_json(F.struct("turns")).alias("record"))
+    return grouped.select("conv_id", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
 
 
 def planted(spark: SparkSession) -> DataFrame:

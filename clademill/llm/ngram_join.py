@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordHashes, materialize, mix64
 from .components import components
 
 NO_ID = 2**63 - 1
-#: Bits of the table of shingle counts that orders shingles, and its blocks; buckets of a set's signature; bits of the table of ids.
-ORDER_BITS, ORDER_BLOCK, BUCKETS, ID_BITS = 22, 1 << 16, 64, 24
-#: Rounds of comparisons with pivots, and members up to which a list has the first of them only.
-ROUNDS, SHORT_LIST = 2, 64
+#: Buckets of a set's signature. Lists of up to SHORT members are compared pair by pair, longer ones through pivots first, ROUNDS times.
+BUCKETS, SHORT, ROUNDS = 64, 24, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,73 +42,30 @@ class Sets:
         return shingles(self.words.of(text.encode().translate(ASCII_LOWER).split()), self.k)
 
 
-def _digest(x: np.ndarray) -> str:
-    return hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest()
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
-def _order(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, cls) of all documents, cls being a digest of the set, and a table of levels by which shingles are
-    ordered: 0 for most, more for those counted far more often than a table cell is on average. The table has the same size for any input."""
+# Bounds, for numbers and columns alike. A set of n items shares at least _least(n) with any similar one and lacks fewer than _slack(n) of its items.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = Sets(k)
-        counts = np.zeros(1 << ORDER_BITS, np.uint16)
-        pending: list[np.ndarray] = []
-        held = 0
 
-        def add_pending() -> None:
-            at, n = np.unique(np.concatenate(pending), return_counts=True)
-            counts[at] += np.minimum(n, 65535 - counts[at]).astype(np.uint16)
+def _least(n, percent: int):
+    return -((-percent * n) // 100) if isinstance(n, int) else ((F.lit(percent) * n + 99) / 100).cast("long")
 
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                s = sets.of(text)
-                rows.append((i, len(s), _digest(s)))
-                pending.append((s >> np.uint64(64 - ORDER_BITS)).astype(np.int32))
-                held += len(s)
-                if held >= 1_000_000:
-                    add_pending()
-                    pending, held = [], 0
-            yield pd.DataFrame(rows, columns=["id", "n", "cls"]).assign(block=None, counts=None)
-        if pending:
-            add_pending()
-        blocks = counts.reshape(-1, ORDER_BLOCK)
-        rows = [(b, zlib.compress(blocks[b].tobytes(), 1)) for b in range(len(blocks)) if blocks[b].any()]
-        yield pd.DataFrame(rows, columns=["block", "counts"]).assign(id=None, n=None, cls=None)[["id", "n", "cls", "block", "counts"]]
-
-    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(ORDER_BLOCK, np.int64)
-        for packed in group["counts"]:
-            total += np.frombuffer(zlib.decompress(packed), np.uint16)
-        return pd.DataFrame({"block": [key[0]], "total": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-    both = materialize(docs.mapInPandas(run, "id long, n long, cls string, block int, counts binary"))
-    table = np.zeros(1 << ORDER_BITS, np.uint32)
-    summed = both.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(add, "block int, total binary")
-    for r in summed.toLocalIterator():
-        table[r["block"] * ORDER_BLOCK : (r["block"] + 1) * ORDER_BLOCK] = np.frombuffer(r["total"], np.uint32)
-    mean = table.mean()
-    usual = max(mean + 4 * mean**0.5, 64)
-    level = np.log2(np.maximum(table / usual, 1)).astype(np.uint8)
-    return both.where("cls is not null").select("id", "n", "cls"), level
-
-
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets (id, items) are similar enough."""
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[ok, ["a", "b"]]
+def _slack(n, percent: int):
+    return n - _least(n, percent) + 1
+
+
+def _shared(n, percent: int):
+    """How many items the heads of two similar sets share, at least, if the smaller has n items."""
+    a, b = _slack(n, percent), _least(n, percent)
+    return min(a, b) if isinstance(n, int) else F.least(a, b)
+
 
-    x = sets.select(F.col("id").alias("xi"), F.col("items").alias("x"))
-    y = sets.select(F.col("id").alias("yi"), F.col("items").alias("y"))
-    joined = pairs.join(x, F.col("a") == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y")
-    return joined.mapInPandas(verify, "a long, b long").distinct()
+def _reach(n: Column, percent: int) -> Column:
+    """No similar set differs from one of n items by more items than this."""
+    return n * ((100 - percent) / percent)
 
 
 def ngram_components(
@@ -121,189 +76,258 @@ def ngram_components(
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; a set holds a document's distinct shingles of
     `words` words, as 64-bit hashes. Two documents link when 100 x intersection >= percent x union. The way there:
 
-    1. Documents with one set become one class. 2. Shingles are ordered by how common they are, as far as a count table
-    of fixed size tells, and by hash. 3. Similar sets share a shingle of their prefixes; classes with the same prefix and
-    size form a group, and groups meet in the lists of their prefixes' shingles. 4. Members of the groups of a list are
-    first compared with one of them, the pivot, then with one from outside the list's largest component, and so on while
-    that leaves too many pairs; then all pairs of a list that are still in different components are compared. A pair is
-    compared only if sizes and bucket counts allow the similarity. So links inside a component may go unseen, but no two
-    components that a link joins stay apart, and a group of near copies costs about a comparison a member. 5. Compared pairs are verified on whole sets.
+    1. Heads. Two similar sets share a certain number of their least hashes. Documents whose head holds too few hashes
+    that any other document's head has drop out; that is one aggregation of heads, whatever the number of documents.
+    2. Of the rest, documents with one set become one class, and whole sets are counted: shingles of one class alone are
+    set aside, the others ordered from rare to common. Similar sets share a shingle of their prefixes in that order.
+    3. Classes with the same prefix and size form a group. Groups meet in the lists of their prefixes' shingles, each with
+    the group in it that has the commonest shingles, the pivot; group pairs whose sizes fit are expanded to members and verified.
+    4. Lists whose members are in several components still are cut finer: members that differ from their pivot in few
+    items can only be similar if they share some of these differences, so they meet in a list for each (pivot, difference);
+    the others stay in their list, for another pivot. Lists of up to SHORT members, and whatever ROUNDS rounds have left, are
+    compared pair by pair, where sizes and bucket counts allow a similarity.
+
+    So links inside a component may go unseen, but no two components that a link joins stay apart.
 
     Null and empty texts have no shingles and are their own component. Null ids count as larger than any and come back
-    null. Rows that share an id are one vertex. Repeated rows get equal results. Other columns are ignored.
+    null. Rows that share an id but not a text are documents of their own. Repeated rows get equal results. Other columns are ignored.
+    An empty table gives an empty result.
     """
     doc = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    every, level = _order(doc, words)
-    order = docs.sparkSession.sparkContext.broadcast(level)
-    classes = materialize(every.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep")))
+    every = materialize(_heads(doc, words, percent).withColumn("k", F.monotonically_increasing_id()))
+    alive = materialize(_with_common_heads(every, percent))
+    sets = materialize(_sets(doc, alive, words).withColumn("v", F.monotonically_increasing_id()))
+    labels = _linked(sets, percent)
+    return _answer(every.select("id", "n", "cls"), sets.select("v", "cls"), labels, id_col)
+
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _heads(doc: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, n, cls, head): size and digest of each document's set, and its least hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Sets(words)
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 s = sets.of(text)
                 n = len(s)
-                if n:
-                    length = n - -(-percent * n // 100) + 1
-                    p = s[np.argsort(order.value[s >> np.uint64(64 - ORDER_BITS)], kind="stable")[:length]]
-                    buckets = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                    rows.append((i, _digest(s), n, f"{n}-{_digest(p)}", p.view(np.int64), buckets.astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "cls", "n", "grp", "prefix", "sig"])
-
-    is_rep = (F.col("p.id") == F.col("c.rep")) & (F.col("p.cls") == F.col("c.cls"))
-    members = materialize(
-        doc.mapInPandas(prefixes, "id long, cls string, n long, grp string, prefix array<long>, sig binary")
-        .alias("p")
-        .join(classes.alias("c"), is_rep, "left_semi")
-    )
-    groups = members.groupBy("grp").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("size"))
-    posted = materialize(groups.select("grp", "size", F.explode("prefix").alias("token")))
-    busy = materialize(posted.groupBy("token").agg(F.sum("size").alias("n")).where("n > 1")).select(F.col("token").alias("t"), "n")
-    # a list per token: its groups, expanded to their members
-    listed = materialize(posted.join(busy, F.col("token") == F.col("t")).select("grp", "token", F.col("n").alias("listed")))
-    info = members.select("grp", "id", F.col("n").alias("size"), "sig").withColumnRenamed("grp", "g")
-    expanded = listed.join(info, F.col("grp") == F.col("g")).select("token", "id", "size", "sig", "listed")
-    weights = expanded.groupBy("id").agg(F.sum("listed").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    vertex = materialize(weights)
-    postings = materialize(expanded.select("token", "id").distinct())
-    if postings.isEmpty():
-        return _answer(every, None, id_col)
+                rows.append((i, n, _digest(s), s[: _slack(n, percent) + _shared(n, percent) - 1].view(np.int64) if n else s.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "n", "cls", "head"])
 
-    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return doc.mapInPandas(run, "id long, n long, cls binary, head array<long>")
+
+
+def _with_common_heads(every: DataFrame, percent: int) -> DataFrame:
+    """(cls, id): the classes, one row each, whose heads hold enough hashes of other documents' heads."""
+    tokens = every.select("k", F.explode("head").alias("token"))
+    alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("k")).where("c = 1").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
+    left = every.where("n > 0").select("k", "cls", "id", "n", F.size("head").alias("held")).join(alone, "k", "left")
+    needed = _shared(_least(F.col("n"), percent), percent)
+    return left.where(F.col("held") - F.coalesce("alone", F.lit(0)) >= needed).groupBy("cls").agg(F.min("id").alias("id"))
+
+
+def _sets(doc: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cls, n, items, sig) of the wanted classes, from one document each; sig counts items by their last bits."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Sets(words)
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
-                both = np.minimum(x, y).sum(1)
-                yield batch.loc[100 * both >= percent * (x.sum(1) + y.sum(1) - both), ["a", "b"]]
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """The similar ones of the pairs (a, b): bucket counts first, then whole sets, of the documents in these pairs alone."""
-        x = vertex.select(F.col("id").alias("xi"), F.col("sig").alias("x"))
-        y = vertex.select(F.col("id").alias("yi"), F.col("sig").alias("y"))
-        hopeful = materialize(
-            pairs.join(x, F.col("a") == F.col("xi")).join(y, F.col("b") == F.col("yi")).select("a", "b", "x", "y").mapInPandas(possible, "a long, b long")
-        )
-        ids = hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct()
-        sets = materialize(_sets_of(doc, materialize(ids), classes, words))
-        return materialize(_near(hopeful, sets, percent))
-
-    lists = materialize(postings.join(vertex, "id").select("token", "id", "size", "weight"))
-    long_lists = lists.groupBy("token").count().where(F.col("count") > SHORT_LIST).select("token")
-    labels = links = checked = None
-    for turn in range(ROUNDS):
-        if turn == 1:  # lists of a few members wait for the last round
-            long_lists = materialize(long_lists)
-            some = materialize(lists.join(long_lists, "token", "left_semi"))
-        pivots = _pivots(_labelled(lists if turn == 0 else some, labels), turn)
-        if turn and pivots.isEmpty():
+            rows = []
+            for text, cls in zip(batch["text"], batch["cls"], strict=True):
+                s = sets.of(text)
+                if _digest(s) == bytes(cls):  # or else a row of the same id with another text
+                    sig = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                    rows.append((cls, len(s), s.view(np.int64), sig.tobytes()))
+            yield pd.DataFrame(rows, columns=["cls", "n", "items", "sig"])
+
+    found = doc.join(wanted.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("text", "cls")
+    return found.mapInPandas(build, "cls binary, n long, items array<long>, sig binary").dropDuplicates(["cls"])
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, n, mass, prefix): shingles of several classes from rare to common, as many as two similar sets need to meet; mass tells how
+    common a set's shingles are on average."""
+    tokens = sets.select("v", "n", F.explode("items").alias("token"))
+    common = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    counted = tokens.join(common, "token").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"), F.sum(F.log2("c")).alias("mass"))
+    least = _least(F.col("n"), percent)
+    kept = counted.where(F.size("q") >= least)
+    return kept.select("v", "n", F.round(F.col("mass") / F.col("n"), 6).alias("mass"), F.slice(F.col("q.token"), F.lit(1), (F.size("q") - least + 1).cast("int")).alias("prefix"))
+
+
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the classes v that have links."""
+    pre = materialize(_prefixes(sets, percent))
+    named = pre.withColumn("grp", F.md5(F.concat_ws(",", F.col("n").cast("string"), F.transform("prefix", lambda t: t.cast("string"))).cast("binary")))
+    top = F.max(F.struct("mass", "v")).alias("top")
+    groups = named.groupBy("grp").agg(F.min("v").alias("g"), top, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = materialize(groups.select("grp", "g", "top", "n", "prefix"))
+    member = materialize(named.select("grp", "v", "n", "mass").join(groups.select("grp", "g"), "grp").select("g", "v", "n", "mass"))
+    posted = groups.select("g", "n", "top", F.explode("prefix").alias("key"))
+    pivots = materialize(posted.groupBy("key").agg(F.max("top").alias("p"), F.max(F.struct("top", "n"))["n"].alias("pn"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    lists = materialize(posted.select("key", "g", "n").join(pivots.select("key", "p", "pn"), "key").select("key", "g", "n", "p", "pn"))
+    # group pairs: every group with the pivot of its lists that has the commonest shingles, and with its own pivot; then their members
+    with_pivot = lists.where((F.col("g") != F.col("p.v")) & _sizes_fit("n", "pn", percent)).groupBy("g").agg(F.max("p").alias("p"))
+    met = with_pivot.select("g", F.col("p.v").alias("p")).union(groups.select("g", F.col("top.v").alias("p")))
+    pairs = met.join(member.select("g", "v"), "g").where("p <> v").select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct()
+    links = [_compared(pairs, sets, percent)]
+    labels = components(links[0])
+    # lists as (key, v) from here on: those in whose groups there are several components, and groups of several members
+    mine = materialize(_labelled(member, labels))
+    parts = mine.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = lists.select("key", "g").join(parts, "g").groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("key")
+    own = mine.join(parts.where("least < most").select("g"), "g", "left_semi").select(F.col("g").alias("key"), "v")
+    state = lists.select("key", "g").join(materialize(mixed), "key", "left_semi").join(mine.select("g", "v"), "g").select(F.xxhash64("key").alias("key"), "v").union(own)
+    state = materialize(state.distinct())
+    facts = pre.select("v", "n", "mass")
+    rest = []
+    for turn in range(ROUNDS + 1):
+        full = _mixed_lists(state, facts, labels)
+        short = full if turn == ROUNDS else full.where(F.col("m") <= SHORT)
+        rest.append(materialize(_all_pairs(short, percent)))
+        if turn == ROUNDS:
             break
-        pairs = materialize(_pairs(_labelled(lists if turn == 0 else some, labels), pivots, percent, checked))
-        checked = pairs if checked is None else checked.union(pairs)
-        new = compare(pairs)
-        links = new if links is None else links.union(new)
-        if turn and new.isEmpty():
+        long = materialize(full.where(F.col("m") > SHORT))
+        if long.isEmpty():
             break
-        labels = components(links)
-    every_member = materialize(_labelled(lists, labels))
-    sizes = every_member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = materialize(mixed.select(F.col("token").alias("t"), F.col("main.component").alias("largest")))
-    outside = every_member.join(mixed, (F.col("token") == F.col("t")) & (F.col("component") != F.col("largest")))
-    pairs = materialize(_pairs(every_member.join(mixed, F.col("token") == F.col("t"), "left_semi"), _named(outside), percent, checked))
-    labels = components(links.union(compare(pairs)))
-    return _answer(every, labels, id_col)
-
-
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists' rows with each member's component so far."""
-    if labels is None:
-        return lists.withColumn("component", F.col("id"))
+        pivot = long.groupBy("key").agg(F.max(F.struct("mass", "v", "n")).alias("p")).select("key", F.col("p.v").alias("p"), F.col("p.n").alias("pn"))
+        placed = materialize(long.join(materialize(pivot), "key").where("p <> v").select("key", "v", "n", "p", "pn"))
+        apart = materialize(_differences(placed.select("p", "pn", "v", "n").distinct(), sets, percent))
+        links.append(apart.where("similar").select(F.col("p").alias("a"), F.col("v").alias("b")))
+        labels = components(reduce(DataFrame.union, links))
+        state = materialize(_finer(placed, apart, percent))
+    links.append(_compared(reduce(DataFrame.union, rest).distinct(), sets, percent))
+    return components(reduce(DataFrame.union, links))
+
+
+def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
     mine = labels.select(F.col("id").alias("l_id"), F.col("component").alias("l"))
-    found = lists.join(mine, F.col("id") == F.col("l_id"), "left")
-    return found.select("token", "id", "size", "weight", F.coalesce("l", "id").alias("component"))
+    return member.join(mine, F.col("v") == F.col("l_id"), "left").withColumn("component", F.coalesce("l", "v")).drop("l_id", "l")
 
 
-def _named(member: DataFrame) -> DataFrame:
-    return member.select(F.col("token").alias("pt"), F.col("id").alias("p"), F.col("size").alias("ps"), F.col("component").alias("pc"))
+def _mixed_lists(state: DataFrame, facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, v, n, mass, component, m) of the lists whose m members are in several components."""
+    known = _labelled(state.join(facts, "v"), labels)
+    sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return materialize(known.join(materialize(sizes.where("least < most").select("key", "m")), "key"))
 
 
-def _pivots(member: DataFrame, turn: int) -> DataFrame:
-    """A pivot for each list of several components: the member of the largest weight; in later rounds one from outside the
-    largest component, drawn by a hash that changes with the round."""
-    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("weight"), "id", "size") if turn else F.struct("weight", "id", "size")
-    sizes = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.max(order).alias("top"))
-    lists = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = lists.select(F.col("token").alias("t"), F.col("main.component").alias("largest"))
-    allowed = F.col("component") != F.col("largest") if turn else F.lit(True)
-    tops = sizes.join(main, F.col("token") == F.col("t")).where(allowed).groupBy("token").agg(F.max(F.struct("top", "component")).alias("p"))
-    return materialize(
-        tops.select(F.col("token").alias("pt"), F.col("p.top.id").alias("p"), F.col("p.top.size").alias("ps"), F.col("p.component").alias("pc"))
-    )
+def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members of different components whose sizes fit."""
+    x = lists.select("key", F.col("v").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
+    y = lists.select("key", F.col("v").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _sizes_fit("an", "bn", percent)).select("a", "b").distinct()
 
 
-def _pairs(member: DataFrame, pivots: DataFrame, percent: int, checked: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of a list's members and pivots of other components whose sizes allow the similarity, without those that
-    were compared before. Lists are cut by bands of size, so that a long one meets itself only where sizes fit."""
-    width = float(np.log(100 / percent)) if percent < 100 else 1e-9
-    band = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.lit(width)).cast("long")
-    near = pivots.withColumn("pb", F.explode(F.array(*[band("ps") + F.lit(k) for k in (-1, 0, 1)])))
-    fits = (100 * F.least("size", "ps") >= percent * F.greatest("size", "ps")) & (F.col("component") != F.col("pc"))
-    met = member.withColumn("band", band("size")).join(near, (F.col("token") == F.col("pt")) & (F.col("band") == F.col("pb")) & fits)
-    pairs = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    return pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
+def _met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b, ...) with a column of both from the table."""
+    x = table.select(F.col("v").alias("xv"), F.col(column).alias("x"))
+    y = table.select(F.col("v").alias("yv"), F.col(column).alias("y"))
+    return pairs.join(x, F.col("a") == F.col("xv")).drop("xv").join(y, F.col("b") == F.col("yv")).drop("yv")
 
 
-def _sets_of(doc: DataFrame, wanted: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(id, items) for the wanted ids' classes. A bitmap of their hashes, of fixed size, spares most other documents
-    the way; the join then takes exactly the wanted ones."""
+def _bucket_bound(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of signatures: the most items that the sets can share, and the sum of their sizes."""
+    x, y = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(-1, BUCKETS).astype(np.int64) for c in ("x", "y"))
+    return np.minimum(x, y).sum(1), x.sum(1) + y.sum(1)
 
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 16, bool)
-        bits[group["bit"].to_numpy()] = True
-        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    bucket = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
-    hashed = wanted.select((bucket / (1 << 16)).cast("int").alias("part"), (bucket % (1 << 16)).cast("int").alias("bit")).distinct()
-    bitmap = np.zeros((1 << ID_BITS) // 8, np.uint8)
-    for r in hashed.groupBy("part").applyInPandas(pack, "part int, bits binary").toLocalIterator():
-        bitmap[r["part"] * 8192 : (r["part"] + 1) * 8192] = np.frombuffer(r["bits"], np.uint8)
-    shared = doc.sparkSession.sparkContext.broadcast(bitmap)
+def _sets_in(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    return sets.select("v", "items").join(materialize(wanted), "v", "left_semi")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = Sets(words)
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The similar ones of the pairs (a, b): by bucket counts first, then by whole sets."""
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = batch["bucket"].to_numpy()
-            hit = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            rows = []
-            for i, text in zip(batch["id"][hit], batch["text"][hit], strict=True):
-                s = sets.of(text)
-                if len(s):
-                    rows.append((i, _digest(s), s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "cls", "items"])
+            if len(batch):
+                both, total = _bucket_bound(batch)
+                yield batch.loc[100 * both >= percent * (total - both), ["a", "b"]]
 
-    built = doc.select("id", "text", bucket.alias("bucket")).mapInPandas(build, "id long, cls string, items array<long>")
-    keep = classes.join(wanted, F.col("rep") == F.col("id")).select("rep", F.col("cls").alias("k"))
-    return built.join(keep, (F.col("id") == F.col("rep")) & (F.col("cls") == F.col("k")), "left_semi").select("id", "items")
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.loc[ok, ["a", "b"]]
+
+    hopeful = materialize(_met(pairs, sets, "sig").mapInPandas(possible, "a long, b long"))
+    return materialize(_met(hopeful, _sets_in(hopeful, sets), "items").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"))
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, pn, v, n, similar, differ, delta): the items that only one of p and v has, if v is near p: within 3 / t reaches of v.
+    Pairs that are farther apart have no row."""
+    radius = 3 * (100 - percent) / percent * 100 / percent
 
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                both, total = _bucket_bound(batch)
+                yield batch.loc[total - 2 * both <= radius * batch["n"].to_numpy() + 1e-6, ["a", "pn", "b", "n"]]
 
-def _answer(every: DataFrame, labels: DataFrame | None, id_col: str) -> DataFrame:
-    """A row for each document: the component of its class, or else the class's least id."""
-    least = materialize(every.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
-    least = least.where("rep < top").select(F.col("cls").alias("k"), "rep")
-    out = every.join(materialize(least), F.col("cls") == F.col("k"), "left").withColumn("rep", F.coalesce("rep", "id"))
-    if labels is not None:
-        known = labels.select(F.col("id").alias("l_id"), "component")
-        out = out.join(known, F.col("rep") == F.col("l_id"), "left").withColumn("rep", F.coalesce("component", "rep"))
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(shown("id").alias(id_col), F.col("n").alias("n_shingles"), shown("rep").alias("component_id"))
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, pn, v, n, x, y in batch[["a", "pn", "b", "n", "x", "y"]].itertuples(index=False):
+                delta = np.setxor1d(x, y, assume_unique=True)
+                both = (pn + n - len(delta)) // 2
+                if len(delta) <= radius * n + 1e-6:
+                    rows.append((p, pn, v, n, 100 * both >= percent * (pn + n - both), len(delta), delta))
+            yield pd.DataFrame(rows, columns=["p", "pn", "v", "n", "similar", "differ", "delta"])
+
+    named = pairs.select(F.col("p").alias("a"), "pn", F.col("v").alias("b"), "n")
+    hopeful = materialize(_met(named, sets, "sig").mapInPandas(possible, "a long, pn long, b long, n long"))
+    met = _met(hopeful, _sets_in(hopeful, sets), "items")
+    return met.mapInPandas(measure, "p long, pn long, v long, n long, similar boolean, differ long, delta array<long>")
+
+
+def _finer(placed: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """The next lists (key, v). Take two similar sets x and y that no link to their list's pivot p joins, and call d the items
+    in which a set differs from p: |d(x)| + |d(y)| - 2 |both| is what x and y differ in, at most a reach. So they share items of
+    d, at least (|d(x)| - reach(x)) of them; and at least half of |d(x)|, less what p and x differ in size, if x is similar to p and y is not.
+    Those within 3 / t reaches of p meet by their rarest shared differences, those beyond 2 reaches stay together: two similar sets
+    are both of the one kind or both of the other."""
+    reach, kappa = _reach(F.col("n"), percent), (100 - percent) / (100 + percent)
+    token = apart.select("p", "pn", "v", "n", "similar", "differ", F.explode("delta").alias("token"))
+    common = materialize(token.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    needed = F.when(F.col("similar"), (F.col("differ") - kappa * F.abs(F.col("pn") - F.col("n"))) / 2).otherwise(F.col("differ") - reach)
+    needed = F.greatest(F.lit(1), F.ceil(needed - 1e-6))
+    held = token.join(common, ["p", "token"]).groupBy("p", "v", needed.alias("needed")).agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"))
+    fine = held.where(F.size("q") >= F.col("needed")).select("p", "v", F.explode(F.slice(F.col("q.token"), F.lit(1), (F.size("q") - F.col("needed") + 1).cast("int"))).alias("token"))
+    near = apart.where(F.col("differ") <= 2 * reach).select("p", "v")
+    far = placed.join(near, ["p", "v"], "left_anti").select(F.xxhash64("key", F.lit("far")).alias("key"), "v")
+    return fine.select(F.xxhash64("p", "token").alias("key"), "v").union(far).distinct()
+
+
+def _answer(every: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """A row for each document: the least id of its component's classes, or else of its class."""
+    least = materialize(every.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")))
+    known = classes.join(labels, F.col("v") == F.col("id")).select("cls", "component").join(least.select("cls", "rep"), "cls")
+    lowest = materialize(known.groupBy("component").agg(F.min("rep").alias("lowest")))
+    better = known.join(lowest, "component").select("cls", "lowest")
+    rep = least.join(better, "cls", "left").where("rows > 1 or lowest is not null").select(F.col("cls").alias("c"), F.coalesce("lowest", "rep").alias("rep"))
+    out = every.join(materialize(rep), F.col("cls") == F.col("c"), "left")
+    shown = lambda c: F.when(c != NO_ID, c)
+    return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(F.coalesce("rep", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with their own columns, of each component the one with the least id."""
+    """The documents with all their own columns, of each component those with the least id.
+
+    Empty and null texts stay. Rows without an id stay, as none of them can be told from another. Rows that repeat an id
+    share a fate: they go if one of them has a lesser id in its component.
+    """
     found = ngram_components(docs, id_col, text_col, words, percent)
     lost = materialize(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("lost_id")).distinct())
     return docs.join(lost, docs[f"`{id_col}`"] == lost["lost_id"], "left_anti")

@@ -151,3 +151,41 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
+def family(rng, size, words, edits):
+    """Copies of one text with random words replaced, some by the same new word."""
+    base = prose(rng, words, 5000).split()
+    rows = []
+    for i in range(size):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            w[rng.randrange(words)] = f"n{rng.randint(0, 40)}" if rng.random() < 0.3 else f"u{rng.random()}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("edits", "percent", "words"), [([3], 90, 3), ([1, 2, 3, 5, 8], 90, 3), ([2, 4, 6], 80, 5)])
+def test_large_family_near_the_threshold(spark, edits, percent, words):
+    rows = family(random.Random(len(edits)), 160, 100, edits)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA), words=words, percent=percent).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, words, percent)
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_lists_cut_by_differences(spark, monkeypatch, rounds):
+    """Lists of any length go through pivots."""
+    monkeypatch.setattr(ngram_join, "SHORT", 1)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = random.Random(3)
+    rows = family(rng, 60, 60, [1, 2, 3, 4]) + [(i + 100, t) for i, t in family(rng, 40, 40, [1, 2, 6])]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA), words=3, percent=80).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 80)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(7, "a b c d e f"), (7, "p q r s t u"), (8, "p q r s t u"), (9, "a b c d e f"), (None, "a b c d e f"), (None, "p q r s t u")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA), words=3, percent=90).collect()
+    assert all(r["component_id"] == 7 for r in got) and len(got) == 6
+    left = ngram_join.one_of_each(spark.createDataFrame(rows, SCHEMA), words=3, percent=90).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [r for r in rows if r[0] in (7, None)]))

@@ -17,6 +17,8 @@ from .components import components
 NO_ID = 2**63 - 1
 #: Buckets of a set's signature. Lists of up to SHORT members are compared pair by pair, longer ones through pivots first, ROUNDS times.
 BUCKETS, SHORT, ROUNDS = 64, 24, 4
+#: The largest bitmap of ids has 2 ** MAP_BITS bits (32 MB).
+MAP_BITS = 28
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,8 +86,9 @@ def ngram_components(
     the group in it that has the commonest shingles, the pivot; group pairs whose sizes fit are expanded to members and verified.
     4. Lists whose members are in several components still are cut finer: members that differ from their pivot in few
     items can only be similar if they share some of these differences, so they meet in a list for each (pivot, difference);
-    the others stay in their list, for another pivot. Lists of up to SHORT members, and whatever ROUNDS rounds have left, are
-    compared pair by pair, where sizes and bucket counts allow a similarity.
+    the others stay in their list, for another pivot. Lists of up to SHORT members are compared pair by pair, where sizes and
+    bucket counts allow a similarity, and so are all lists once these pairs are no more than SHORT for each row of the first lists,
+    or after ROUNDS rounds.
 
     So links inside a component may go unseen, but no two components that a link joins stay apart.
 
@@ -129,28 +132,56 @@ def _with_common_heads(every: DataFrame, percent: int) -> DataFrame:
     return left.where(F.col("held") - F.coalesce("alone", F.lit(0)) >= needed).groupBy("cls").agg(F.min("id").alias("id"))
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits set for the hashes of the wanted ids: eight for each id, at most 2 ** MAP_BITS. Beyond that more ids pass that nobody wants."""
+    bits = min(max(wanted.count() * 8, 1 << 19).bit_length(), MAP_BITS)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, group in batch.groupby("part"):
+                at = np.unique(group["bit"].to_numpy())
+                yield pd.DataFrame({"part": [part], "bits": [at.astype(np.uint16).tobytes()]})
+
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    hashed = wanted.select((at / (1 << 16)).cast("int").alias("part"), (at % (1 << 16)).cast("int").alias("bit"))
+    bitmap = np.zeros(1 << bits, bool)
+    for r in hashed.mapInPandas(pack, "part int, bits binary").toLocalIterator():
+        bitmap[r["part"] * 65536 + np.frombuffer(r["bits"], np.uint16).astype(np.int64)] = True
+    return np.packbits(bitmap)
+
+
 def _sets(doc: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, n, items, sig) of the wanted classes, from one document each; sig counts items by their last bits."""
+    """(cls, n, items, sig) of the wanted classes, from one document each; sig counts items by their last bits. A bitmap of
+    bounded size keeps most other documents' sets from being dealt out for the join that takes exactly the wanted ones."""
+    bitmap = _bitmap(wanted)
+    bits = len(bitmap) * 8
+    shared = doc.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Sets(words)
         for batch in batches:
+            at = batch["at"].to_numpy()
+            hit = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             rows = []
-            for text, cls in zip(batch["text"], batch["cls"], strict=True):
+            for i, text in zip(batch["id"][hit], batch["text"][hit], strict=True):
                 s = sets.of(text)
-                if _digest(s) == bytes(cls):  # or else a row of the same id with another text
+                if len(s):
                     sig = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-                    rows.append((cls, len(s), s.view(np.int64), sig.tobytes()))
-            yield pd.DataFrame(rows, columns=["cls", "n", "items", "sig"])
+                    rows.append((i, _digest(s), len(s), s.view(np.int64), sig.tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "cls", "n", "items", "sig"])
 
-    found = doc.join(wanted.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("text", "cls")
-    return found.mapInPandas(build, "cls binary, n long, items array<long>, sig binary").dropDuplicates(["cls"])
+    built = doc.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")).mapInPandas(build, "id long, cls binary, n long, items array<long>, sig binary")
+    found = built.join(wanted.select(F.col("id").alias("i"), F.col("cls").alias("c")), (F.col("id") == F.col("i")) & (F.col("cls") == F.col("c")), "left_semi")
+    return found.drop("id").dropDuplicates(["cls"])
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(v, n, mass, prefix): shingles of several classes from rare to common, as many as two similar sets need to meet; mass tells how
     common a set's shingles are on average."""
-    tokens = sets.select("v", "n", F.explode("items").alias("token"))
+    every = sets.select("v", F.explode("items").alias("token"))
+    alone = every.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v")).where("c = 1").groupBy("v").agg(F.count(F.lit(1)).alias("alone"))
+    enough = sets.select("v", "n").join(alone, "v", "left").where(F.col("n") - F.coalesce("alone", F.lit(0)) >= _least(F.col("n"), percent)).select("v")
+    tokens = sets.select("v", "n", "items").join(materialize(enough), "v", "left_semi").select("v", "n", F.explode("items").alias("token"))
     common = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     counted = tokens.join(common, "token").groupBy("v", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"), F.sum(F.log2("c")).alias("mass"))
     least = _least(F.col("n"), percent)
@@ -178,7 +209,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     met = with_pivot.select("g", F.col("p.v").alias("p")).union(groups.select("g", F.col("top.v").alias("p")))
     pairs = met.join(member.select("g", "v"), "g").where("p <> v").select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct()
     links = [_compared(pairs, sets, percent)]
-    labels = components(links[0])
+    labels = _hints(links[0])
     # lists as (key, v) from here on: those in whose groups there are several components, and groups of several members
     mine = materialize(_labelled(member, labels))
     parts = mine.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"))
@@ -187,26 +218,34 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     state = lists.select("key", "g").join(materialize(mixed), "key", "left_semi").join(mine.select("g", "v"), "g").select(F.xxhash64("key").alias("key"), "v").union(own)
     state = materialize(state.distinct())
     facts = pre.select("v", "n", "mass")
-    rest = []
-    for turn in range(ROUNDS + 1):
+    rest, few, turn = [], SHORT * lists.count(), 0
+    while True:
         full = _mixed_lists(state, facts, labels)
-        short = full if turn == ROUNDS else full.where(F.col("m") <= SHORT)
-        rest.append(materialize(_all_pairs(short, percent)))
-        if turn == ROUNDS:
-            break
         long = materialize(full.where(F.col("m") > SHORT))
-        if long.isEmpty():
+        left = long.agg(F.sum((F.col("m") - 1) / 2)).first()[0] or 0
+        last = left <= few or turn == ROUNDS
+        rest.append(materialize(_all_pairs(full if last else full.where(F.col("m") <= SHORT), percent)))
+        if last:
             break
+        turn += 1
         pivot = long.groupBy("key").agg(F.max(F.struct("mass", "v", "n")).alias("p")).select("key", F.col("p.v").alias("p"), F.col("p.n").alias("pn"))
         placed = materialize(long.join(materialize(pivot), "key").where("p <> v").select("key", "v", "n", "p", "pn"))
         apart = materialize(_differences(placed.select("p", "pn", "v", "n").distinct(), sets, percent))
         links.append(apart.where("similar").select(F.col("p").alias("a"), F.col("v").alias("b")))
-        labels = components(reduce(DataFrame.union, links))
+        labels = _hints(reduce(DataFrame.union, links))
         state = materialize(_finer(placed, apart, percent))
     links.append(_compared(reduce(DataFrame.union, rest).distinct(), sets, percent))
     return components(reduce(DataFrame.union, links))
 
 
+def _hints(links: DataFrame) -> DataFrame:
+    """(id, component) as far as two steps along the links tell: equal components are connected, others may be, too."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")))
+    second = both.join(first.select(F.col("a").alias("b"), "least"), "b").groupBy("a").agg(F.min("least").alias("component"))
+    return materialize(second.select(F.col("a").alias("id"), "component"))
+
+
 def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
     mine = labels.select(F.col("id").alias("l_id"), F.col("component").alias("l"))
     return member.join(mine, F.col("v") == F.col("l_id"), "left").withColumn("component", F.coalesce("l", "v")).drop("l_id", "l")

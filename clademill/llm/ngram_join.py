@@ -16,7 +16,9 @@ from .components import components
 
 NO_ID = 2**63 - 1
 #: Buckets of a set's signature. Lists of up to SHORT members are compared pair by pair, longer ones through pivots first, ROUNDS times.
-BUCKETS, SHORT, ROUNDS = 64, 24, 4
+BUCKETS, SHORT, ROUNDS = 64, 16, 4
+#: Pairs for each class up to which the longer lists are finished pair by pair.
+PAIRS = 8
 #: The largest bitmap of ids has 2 ** MAP_BITS bits (32 MB).
 MAP_BITS = 28
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +89,7 @@ def ngram_components(
     4. Lists whose members are in several components still are cut finer: members that differ from their pivot in few
     items can only be similar if they share some of these differences, so they meet in a list for each (pivot, difference);
     the others stay in their list, for another pivot. Lists of up to SHORT members are compared pair by pair, where sizes and
-    bucket counts allow a similarity, and so are all lists once these pairs are no more than SHORT for each row of the first lists,
+    bucket counts allow a similarity, and so are all lists once these pairs are no more than PAIRS for each class,
     or after ROUNDS rounds.
 
     So links inside a component may go unseen, but no two components that a link joins stay apart.
@@ -218,7 +220,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     state = lists.select("key", "g").join(materialize(mixed), "key", "left_semi").join(mine.select("g", "v"), "g").select(F.xxhash64("key").alias("key"), "v").union(own)
     state = materialize(state.distinct())
     facts = pre.select("v", "n", "mass")
-    rest, few, turn = [], SHORT * lists.count(), 0
+    rest, few, turn = [], PAIRS * pre.count(), 0
     while True:
         full = _mixed_lists(state, facts, labels)
         long = materialize(full.where(F.col("m") > SHORT))

@@ -11,22 +11,35 @@ from clademill.llm.common import shared_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity operator rejects (score 0.7 or more), learning from this input's labelled rows.
+
+    Null and empty texts are scored like any; rows without an id always stay, as no score can be brought to them; rows that repeat an id
+    go together if one of them is rejected. Other columns stay as they are.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with one text (white space runs count as a space) the one with the least id stays, with its own columns.
+    Null texts count as empty. No rows give no rows."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 5-word shingles (similarity 0.8) join, those with the least id stay; empty and null texts and
+    rows without an id stay. No rows give no rows."""
     return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents so that each source's words come near its target; a document of a source whose target is above its size
+    comes up to three times. Null sources are one source, the last. No rows give no rows."""
     return mixing.mixed(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document, repeats included: number of tokens, and digests of the ids and of the text decoded from them.
+    Null texts count as empty."""
     return bpe.encode_and_check(docs)
 
 

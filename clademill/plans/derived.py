@@ -12,17 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Sums of millionths, brought into a range around 0.
+_RANGE = 600_011
+
+
 def values(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(taxon_id, site, v): the first n vectors' components."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n)
-    return e.select((F.col("vec_id") + 1).cast("int").alias("taxon_id"), F.posexplode("embedding").alias("p", "x")).select(
-        "taxon_id", (F.col("p") + 1).cast("int").alias("site"), F.col("x").cast("double").alias("v")
-    )
+    """(taxon_id, site, v): all vectors, n sums of components for each site: vector k counts for taxon k % n + 1, in whole millionths,
+    and the sum's remainder gives a value of either sign."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % n + 1).cast("int").alias("taxon_id"), F.posexplode("embedding").alias("p", "x"))
+    whole = F.floor(F.col("x").cast("double") * 1_000_000)
+    sums = e.groupBy("taxon_id", (F.col("p") + 1).cast("int").alias("site")).agg(F.sum(whole).alias("s"))
+    return sums.select("taxon_id", "site", ((F.pmod("s", F.lit(_RANGE)) - _RANGE // 2) / F.lit(1e6)).alias("v"))
 
 
 def values_sql(n: int) -> str:
-    return f"""select cast(vec_id + 1 as int) as taxon_id, cast(site as int) as site, cast(v as double) as v
-  from (select vec_id, generate_subscripts(embedding, 1) as site, unnest(embedding) as v from embeddings where vec_id < {n})"""
+    return f"""select taxon_id, site, (((s % {_RANGE}) + {_RANGE}) % {_RANGE} - {_RANGE // 2}) / 1e6::double as v from (
+  select cast(vec_id % {n} + 1 as int) as taxon_id, cast(site as int) as site, cast(sum(cast(floor(x * 1000000) as bigint)) as bigint) as s from (
+    select vec_id, generate_subscripts(embedding, 1) as site, cast(unnest(embedding) as double) as x from embeddings) group by 1, 2)"""
 
 
 #: Quartile cuts make nucleotides; values near 0 are undetermined in the ambiguous alignment.

@@ -95,12 +95,12 @@ def determined_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select cast(c_custkey as int) as taxon_id, substr(c_mktsegment, 1, 3) || cast(c_nationkey % 5 as varchar) as seq from customer)
+with s as (select cast(c_custkey as int) as taxon_id, c_mktsegment || '-' || cast(c_nationkey as varchar) as seq from customer)
 select taxon_id, same_as from (select taxon_id, min(taxon_id) over (partition by seq) as same_as from s) where taxon_id > same_as
 """)
 def duplicate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = d.table(spark, sf_dir, "customer")
-    seq = F.concat(F.substring("c_mktsegment", 1, 3), (F.col("c_nationkey") % 5).cast("string"))
+    seq = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"))
     return alignment.duplicates(c.select(F.col("c_custkey").cast("int").alias("taxon_id"), seq.alias("seq")))
 
 
@@ -121,10 +121,10 @@ def excluded_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 select taxon_id, cast(site % 3 as int) as part_id, bool_or(code <> 15) as has_data
-from ({d.cells_sql(24, True)}) where site > 61 or code = 15 group by 1, 2
+from ({d.cells_sql(24, True)}) group by 1, 2
 """)
 def partition_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = d.cells(spark, sf_dir, 24, True).where("site > 61 or code = 15")
+    c = d.cells(spark, sf_dir, 24, True)
     parts = spark.range(1, d.SITES + 1).select(F.col("id").cast("int").alias("site"), (F.col("id") % 3).cast("int").alias("part_id"))
     return alignment.presence(c, parts)
 
@@ -255,7 +255,7 @@ def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reference_and_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = d.cells(spark, sf_dir, 5)
     ref = alignment.columns(c.where("taxon_id <= 4")).select(F.col("site").alias("pattern_id"), "codes", F.lit(1).cast("long").alias("weight"))
-    e = d.table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(4, 23))
+    e = d.table(spark, sf_dir, "embeddings")
     v = lambda x: F.when(x < -0.1, 1).when(x < 0, 2).when(x < 0.1, 4).otherwise(8)
     queries = e.select((F.col("vec_id") + 1).alias("query_id"), F.transform("embedding", lambda x: v(x.cast("double"))).alias("codes"))
     return ref, queries
@@ -378,12 +378,12 @@ def rogue_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select cast(o_orderkey as int) as tree_id, cast(n as bigint) as split_key from (
-  select o_orderkey, unnest([case when o_custkey % 3 = 0 then 6 when o_custkey % 3 = 1 then 10 else 12 end, 14, 30]) as n from orders where o_orderkey % 50 = 0)
+  select o_orderkey, unnest([case when o_custkey % 3 = 0 then 6 when o_custkey % 3 = 1 then 10 else 12 end, 14, 30]) as n from orders)
 where bit_count(n) between 2 and 3
 """)
 def newick_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of five taxa written from orders and read back."""
-    o = d.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    o = d.table(spark, sf_dir, "orders")
     k = F.col("o_custkey") % 3
     inner = F.when(k == 0, "((b,c),d)").when(k == 1, "((b:0.5,d)x:0.1,c)").otherwise("((c,'d'),b[note])")
     newick = F.concat(F.lit("(a,"), inner, F.lit(",e);"))

@@ -1,4 +1,4 @@
-"""Queries of queries.py over all rows of their tables, without ranges of ids; each beside its SQL over all rows."""
+"""Queries of queries.py whose alignments, tree sets and placements grow with the vectors, which are not summed up here; each beside its SQL."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from . import queries as q
 
 
 def _over_all(name: str, n: int) -> str:
-    """The SQL of a query with the derivations from all vectors in place of those from the first n."""
+    """The SQL of a query with the derivations from single vectors in place of those from n sums."""
     sql = _SQL[name]
     for ambiguous in (False, True):
         sql = sql.replace(d.cells_sql(n, ambiguous), d.all_cells_sql(n, ambiguous))
@@ -60,7 +60,7 @@ def excluded_sites_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.exclude(d.all_cells(spark, sf_dir, 6), ranges)
 
 
-@query(_over_all("partition_presence", 24).replace(" where site > 61 or code = 15", ""))
+@query(_over_all("partition_presence", 24))
 def partition_presence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = d.all_cells(spark, sf_dir, 24, True)
     parts = c.select("site").distinct().select("site", (F.col("site") % 3).cast("int").alias("part_id"))
@@ -180,8 +180,10 @@ def likelihood_test_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_vector(name: str, n: int) -> str:
-    """The SQL of a query with one tree or query for each vector, in place of the first n."""
-    return _SQL[name].replace(f" where vec_id < {n}", "").replace("cast(vec_id + 1 as int)", "vec_id + 1").replace("cast(tree_id as int)", "tree_id")
+    """The SQL of a query with one tree or query for each vector, in place of n sums."""
+    every = """select vec_id + 1 as tree_id, site as pattern_id, cast(site % 3 + 1 as bigint) as weight, -1.0 - abs(v) as ll
+  from (select vec_id, generate_subscripts(embedding, 1) as site, cast(unnest(embedding) as double) as v from embeddings)"""
+    return _SQL[name].replace(d.site_ll_sql(n), every).replace("cast(tree_id as int)", "tree_id")
 
 
 def _ll_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +225,7 @@ def heuristic_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trees from text
 
 
-@query(_SQL["newick_splits"].replace(" where o_orderkey % 50 = 0", ""))
+@query(_SQL["newick_splits"])
 def newick_splits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of five taxa for each order, written and read back."""
     o = d.table(spark, sf_dir, "orders")

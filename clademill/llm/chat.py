@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Declarative mappings. `list` names the field that holds the turns, with the fields of each turn's order, role and text;
+#: `aliases` marks layouts whose own role names stand for user and assistant; other layouts' roles stay as they are.
 #: `fields` gives single fields and the roles that their texts take, in order, several of one role joined by a blank line.
 MAPPINGS: list[dict] = [
     {"name": "messages", "list": "messages", "role": "role", "text": "content"},
     {"name": "turns", "list": "turns", "role": "role", "text": "text", "order": "turn"},
-    {"name": "conversations", "list": "conversations", "role": "from", "text": "value"},
+    {"name": "conversations", "list": "conversations", "role": "from", "text": "value", "aliases": True},
     {"name": "prompt-completion", "fields": [("prompt", "user"), ("completion", "assistant")]},
     {"name": "prompt-response", "fields": [("prompt", "user"), ("response", "assistant")]},
     {"name": "system-prompt-response", "fields": [("system", "system"), ("prompt", "user"), ("response", "assistant")]},
@@ -82,7 +83,7 @@ def canonical(record: str | None) -> tuple[str, list[tuple[str, str]]] | None:
         if mapping.get("order"):
             items.sort(key=lambda x: (x.get(mapping["order"]) is not None, x.get(mapping["order"]) or 0))
         turns = [(show(x.get(mapping["role"])), show(x.get(mapping["text"]))) for x in items]
-        return mapping["name"], [(ROLES.get(r, r), t) for r, t in turns]
+        return mapping["name"], [(ROLES.get(r, r), t) for r, t in turns] if mapping.get("aliases") else turns
     turns = []
     for field, role in mapping["fields"]:
         text = show(value[field])
@@ -160,22 +161,28 @@ def chat_format(records: DataFrame, id_col: str = "conv_id", record_col: str = "
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted strings hold, read back from them: id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What the formatted strings hold, read back from them: id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A row for each record; those that couldn't be formatted have nulls. Ids may repeat or be null; other columns are ignored.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             rows = []
             for i, f, spans in zip(batch["id"], batch["formatted"], batch["loss_spans"], strict=True):
+                if f is None:
+                    rows.append((i, *[None] * 5))
+                    continue
                 turns = read_turns(f)
                 loss = "".join(unescape(f[s["start"] : s["end"]]) for s in spans)
                 rows.append((i, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(f)))
             yield pd.DataFrame(
                 rows, columns=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            ).astype({"id": "object"})
+            ).astype({"id": "object", "n_turns": "Int64", "loss_chars": "Int64", "formatted_chars": "Int64"})
 
     kind = formatted.schema[id_col].dataType.simpleString()
-    rows = formatted.where("formatted is not null").select(F.col(f"`{id_col}`").alias("id"), "formatted", "loss_spans")
+    rows = formatted.select(F.col(f"`{id_col}`").alias("id"), "formatted", "loss_spans")
     return rows.mapInPandas(
         run, f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     ).withColumnRenamed("id", id_col)
@@ -183,7 +190,8 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 def records_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, record): the rows of each conversation, by turn, as one JSON record. A conversation is one string in the end,
-    so its rows have to fit in memory; conversations are spread by id. Null fields keep their names, by which mappings are found."""
+    so its rows have to fit in memory; conversations are spread by id. Null fields keep their names, by which mappings are found.
+    Rows of one turn number come by role and text, null numbers first; repeated rows stay. Null ids are one conversation. Other columns are ignored."""
     turn = F.struct(F.col("turn"), F.col("role"), F.col("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return grouped.select("conv_id", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import queries as _, whole as __  # noqa: F401  register them
+    from .plans import queries as _, sources as ___, whole as __  # noqa: F401  register them
 
     return _QUERIES
 

@@ -116,8 +116,8 @@ def partition_shares(pattern: DataFrame) -> DataFrame:
 
 def base_frequencies(cell: DataFrame, states: int = 4, rounds: int = 8) -> DataFrame:
     """(state, freq): expectation maximisation over the masks' counts: an ambiguous code counts for its states by their
-    frequencies so far. The counts have at most 2**states rows."""
-    counts = cell.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    frequencies so far. Cells with a column weight count that often. The counts have at most 2**states rows."""
+    counts = cell.groupBy("code").agg((F.sum("weight") if "weight" in cell.columns else F.count(F.lit(1))).alias("n"))
     one = counts.select("n", F.array(*[F.shiftright("code", s).bitwiseAND(1).cast("double") for s in range(states)]).alias("has"))
     freq = one.agg(F.array(*[F.lit(1.0 / states)] * states).alias("f"))
     for _ in range(rounds):

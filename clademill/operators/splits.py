@@ -229,3 +229,31 @@ def rogue_gains(splits: DataFrame, n_trees: int, n_taxa: int) -> DataFrame:
     before = consensus(splits, n_trees).agg(F.count(F.lit(1)).alias("before"))
     found = taxa.join(after, "taxon", "left").crossJoin(F.broadcast(before))
     return found.select("taxon", (F.coalesce("after", F.lit(0)) - F.col("before")).alias("gain"))
+
+
+def topologies(splits: DataFrame) -> DataFrame:
+    """(tree_id, topology): a digest of the tree's splits, equal for equal topologies. A tree's splits are fewer than its taxa."""
+    keys = F.array_join(F.transform(F.array_sort(F.collect_set("split_key")), lambda k: k.cast("string")), ",")
+    return splits.groupBy("tree_id").agg(F.md5(keys.cast("binary")).alias("topology"))
+
+
+def distinct_topologies(splits: DataFrame) -> DataFrame:
+    """(topology, n_trees, first_tree) of all trees."""
+    return topologies(splits).groupBy("topology").agg(F.count(F.lit(1)).alias("n_trees"), F.min("tree_id").alias("first_tree"))
+
+
+def monophyletic(splits: DataFrame, groups: DataFrame, full: int) -> DataFrame:
+    """groups: (group_id, mask of its taxa). (group_id, n_trees): in how many trees the group has a branch of its own; full is the mask
+    of all taxa. Groups that are so nowhere have no row."""
+    side = F.when(F.col("mask").bitwiseAND(1) != 0, F.lit(full) - F.col("mask")).otherwise(F.col("mask"))
+    keys = groups.select("group_id", side.alias("key"))
+    per_split = splits.select("tree_id", "split_key").distinct().groupBy("split_key").agg(F.count(F.lit(1)).alias("n_trees"))
+    return keys.join(per_split, F.col("key") == F.col("split_key")).select("group_id", "n_trees")
+
+
+def admissible(splits: DataFrame, constraint: list[int]) -> DataFrame:
+    """(tree_id, admissible): whether none of the tree's splits contradicts one of the constraint's, of which there are fewer than taxa."""
+    key = F.col("split_key")
+    fits = lambda c: (key.bitwiseAND(c) == 0) | (key.bitwiseAND(c) == key) | (key.bitwiseAND(c) == c)
+    every = F.forall(F.array(*[F.lit(c).cast("long") for c in constraint]), fits)
+    return splits.groupBy("tree_id").agg(F.bool_and(every).alias("admissible"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, seq) of FASTA files: Spark cuts the files at '>', so that each record is a row, however long the file is."""
-    records = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    """(file, name, seq) of FASTA files: Spark cuts the files at each '>' that begins a line, so that each record is a row, however long the file is."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"), F.col("_metadata.file_path").alias("file"))
     head = F.regexp_extract("value", r"^[^\r\n]*", 0)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     return records.where(F.trim("value") != "").select("file", F.trim(head).alias("name"), F.upper(body).alias("seq"))

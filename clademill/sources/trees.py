@@ -36,6 +36,8 @@ def parse(newick: str) -> Node:
             continue
         if closed:
             raise TreeError("text after the end")
+        if want_length and t in "(),:;":
+            raise TreeError("a length is missing")
         if t == "(":
             path.append(here)
             here.children.append(Node())
@@ -54,7 +56,12 @@ def parse(newick: str) -> Node:
         elif t == ";":
             closed = True
         elif want_length:
-            here.length, want_length = float(t), False
+            try:
+                here.length, want_length = float(t), False
+            except ValueError:
+                raise TreeError(f"no length: {t}") from None
+        elif here.name or here.length is not None:
+            raise TreeError(f"one label too many: {t}")
         else:
             here.name = t[1:-1].replace("''", "'") if t[0] == "'" else t
     if path or not closed:
@@ -113,10 +120,20 @@ def write(node: Node, digits: int = 20) -> str:
         name = n.name if re.fullmatch(r"[^\s(),:;\[\]']*", n.name) else "'" + n.name.replace("'", "''") + "'"
         return name + (f":{n.length:.{digits}f}" if n.length is not None else "")
 
-    def text(n: Node) -> str:
-        return f"({','.join(map(text, n.children))}){label(n)}" if n.children else label(n)
-
-    return text(node) + ";"
+    parts: list[str] = []
+    stack: list[Node | str] = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            parts.append(n)
+        elif n.children:
+            stack.append(")" + label(n))
+            for k, child in enumerate(reversed(n.children)):
+                stack += [",", child] if k else [child]
+            stack.append("(")
+        else:
+            parts.append(label(n))
+    return "".join(parts) + ";"
 
 
 def taxa(trees: DataFrame) -> DataFrame:

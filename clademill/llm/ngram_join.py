@@ -16,7 +16,7 @@ from .components import components
 
 NO_ID = 2**63 - 1
 #: Buckets of a set's signature. Lists of up to SHORT members are compared pair by pair, longer ones through pivots first, ROUNDS times.
-BUCKETS, SHORT, ROUNDS = 64, 16, 4
+BUCKETS, SHORT, ROUNDS = 64, 16, 2
 #: Pairs for each class up to which the longer lists are finished pair by pair.
 PAIRS = 8
 #: The largest bitmap of ids has 2 ** MAP_BITS bits (32 MB).

@@ -88,7 +88,8 @@ def ngram_components(
     the group in it that has the commonest shingles, the pivot; group pairs whose sizes fit are expanded to members and verified.
     4. Lists whose members are in several components still are cut finer: members that differ from their pivot in few
     items can only be similar if they share some of these differences, so they meet in a list for each (pivot, difference);
-    the others stay in their list, for another pivot. Lists of up to SHORT members are compared pair by pair, where sizes and
+    the others stay in their list, for another pivot. Of lists with the same members one is compared, and of two members' common
+    differences only those early enough that enough others may follow bring them together. Lists of up to SHORT members are compared pair by pair, where sizes and
     bucket counts allow a similarity, and so are all lists once these pairs are no more than PAIRS for each class,
     or after ROUNDS rounds.
 
@@ -218,7 +219,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     mixed = lists.select("key", "g").join(parts, "g").groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("key")
     own = mine.join(parts.where("least < most").select("g"), "g", "left_semi").select(F.col("g").alias("key"), "v")
     state = lists.select("key", "g").join(materialize(mixed), "key", "left_semi").join(mine.select("g", "v"), "g").select(F.xxhash64("key").alias("key"), "v").union(own)
-    state = materialize(state.distinct())
+    state = materialize(_without_place(state.distinct()))
     facts = pre.select("v", "n", "mass")
     rest, few, turn = [], PAIRS * pre.count(), 0
     while True:
@@ -254,17 +255,25 @@ def _labelled(member: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed_lists(state: DataFrame, facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, v, n, mass, component, m) of the lists whose m members are in several components."""
+    """(key, v, n, mass, component, m, differ, rest) of the lists whose m members are in several components. Of a pivot's lists with the
+    same members the one of the rarest item stays: a changed word changes several shingles, each with a list of its own."""
     known = _labelled(state.join(facts, "v"), labels)
-    sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most"))
-    return materialize(known.join(materialize(sizes.where("least < most").select("key", "m")), "key"))
+    same = [F.bit_xor(F.xxhash64("v", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    sizes = known.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("p").alias("p"), F.sum("rest").alias("rest"), *same
+    )
+    mixed = sizes.where("least < most").groupBy("m", "p", "same0", "same1").agg(F.max(F.struct("rest", "key"))["key"].alias("key"))
+    return materialize(known.drop("p").join(materialize(mixed.select("key", "m")), "key"))
 
 
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members of different components whose sizes fit."""
-    x = lists.select("key", F.col("v").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    y = lists.select("key", F.col("v").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _sizes_fit("an", "bn", percent)).select("a", "b").distinct()
+    """Pairs of a list's members of different components whose sizes and positions fit: in the list of the first item that two sets of
+    differences share, they can share no more items than either has from there on (rest). Lists without positions (null) have no such test."""
+    x = lists.select("key", F.col("v").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("differ").alias("ad"), F.col("rest").alias("ar"))
+    y = lists.select("key", F.col("v").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), F.col("differ").alias("bd"), F.col("rest").alias("br"))
+    apart = (F.col("an") + F.col("bn")) * ((100 - percent) / (100 + percent))
+    place = F.coalesce(2 * F.least("ar", "br") + apart + 1e-6 >= F.col("ad") + F.col("bd"), F.lit(True))
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & _sizes_fit("an", "bn", percent) & place).select("a", "b").distinct()
 
 
 def _met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -334,21 +343,28 @@ def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _finer(placed: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """The next lists (key, v). Take two similar sets x and y that no link to their list's pivot p joins, and call d the items
+    """The next lists (key, v, p, differ, rest). Take two similar sets x and y that no link to their list's pivot p joins, and call d the items
     in which a set differs from p: |d(x)| + |d(y)| - 2 |both| is what x and y differ in, at most a reach. So they share items of
     d, at least (|d(x)| - reach(x)) of them; and at least half of |d(x)|, less what p and x differ in size, if x is similar to p and y is not.
     Those within 3 / t reaches of p meet by their rarest shared differences, those beyond 2 reaches stay together: two similar sets
-    are both of the one kind or both of the other."""
+    are both of the one kind or both of the other. differ is |d(x)|; rest counts the shared differences of x from the list's own on."""
     reach, kappa = _reach(F.col("n"), percent), (100 - percent) / (100 + percent)
     token = apart.select("p", "pn", "v", "n", "similar", "differ", F.explode("delta").alias("token"))
     common = materialize(token.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     needed = F.when(F.col("similar"), (F.col("differ") - kappa * F.abs(F.col("pn") - F.col("n"))) / 2).otherwise(F.col("differ") - reach)
     needed = F.greatest(F.lit(1), F.ceil(needed - 1e-6))
-    held = token.join(common, ["p", "token"]).groupBy("p", "v", needed.alias("needed")).agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"))
-    fine = held.where(F.size("q") >= F.col("needed")).select("p", "v", F.explode(F.slice(F.col("q.token"), F.lit(1), (F.size("q") - F.col("needed") + 1).cast("int"))).alias("token"))
+    held = token.join(common, ["p", "token"]).groupBy("p", "v", "differ", needed.alias("needed")).agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"))
+    first = F.slice(F.col("q.token"), F.lit(1), (F.size("q") - F.col("needed") + 1).cast("int"))
+    fine = held.where(F.size("q") >= F.col("needed")).select("p", "v", "differ", F.size("q").alias("held"), F.posexplode(first).alias("at", "token"))
     near = apart.where(F.col("differ") <= 2 * reach).select("p", "v")
     far = placed.join(near, ["p", "v"], "left_anti").select(F.xxhash64("key", F.lit("far")).alias("key"), "v")
-    return fine.select(F.xxhash64("p", "token").alias("key"), "v").union(far).distinct()
+    placed_at = fine.select(F.xxhash64("p", "token").alias("key"), "v", "p", "differ", (F.col("held") - F.col("at")).cast("long").alias("rest"))
+    return placed_at.union(_without_place(far)).distinct()
+
+
+def _without_place(lists: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("long")
+    return lists.select("key", "v", none.alias("p"), none.alias("differ"), none.alias("rest"))
 
 
 def _answer(every: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:

@@ -182,6 +182,26 @@ def test_lists_cut_by_differences(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 80)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_by_position_after_one_pivot(spark, monkeypatch, seed):
+    """Branches of one text: near copies within a branch share most of their differences from a pivot in another one."""
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "PAIRS", 0)
+    rng = random.Random(seed)
+    rows = []
+    for _, branch in family(rng, 14, 80, [3, 5]):
+        for _ in range(5):
+            w = branch.split()
+            for _ in range(rng.choice([1, 2, 3, 5])):
+                w[rng.randrange(len(w))] = f"b{rng.randint(0, 20)}" if rng.random() < 0.3 else f"w{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    want = brute_components(rows, 3, 80)
+    assert 2 < len({c for _, _, c in want}) < len(rows)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA), words=3, percent=80).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_rows_of_one_id_are_documents_of_their_own(spark):
     rows = [(7, "a b c d e f"), (7, "p q r s t u"), (8, "p q r s t u"), (9, "a b c d e f"), (None, "a b c d e f"), (None, "p q r s t u")]
     got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA), words=3, percent=90).collect()

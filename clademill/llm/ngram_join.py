@@ -349,11 +349,11 @@ def _finer(placed: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
     Those within 3 / t reaches of p meet by their rarest shared differences, those beyond 2 reaches stay together: two similar sets
     are both of the one kind or both of the other. differ is |d(x)|; rest counts the shared differences of x from the list's own on."""
     reach, kappa = _reach(F.col("n"), percent), (100 - percent) / (100 + percent)
-    token = apart.select("p", "pn", "v", "n", "similar", "differ", F.explode("delta").alias("token"))
-    common = materialize(token.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     needed = F.when(F.col("similar"), (F.col("differ") - kappa * F.abs(F.col("pn") - F.col("n"))) / 2).otherwise(F.col("differ") - reach)
     needed = F.greatest(F.lit(1), F.ceil(needed - 1e-6))
-    held = token.join(common, ["p", "token"]).groupBy("p", "v", "differ", needed.alias("needed")).agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"))
+    token = materialize(apart.select("p", "v", "differ", needed.alias("needed"), F.explode("delta").alias("token")))
+    common = materialize(token.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    held = token.join(common, ["p", "token"]).groupBy("p", "v", "differ", "needed").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"))
     first = F.slice(F.col("q.token"), F.lit(1), (F.size("q") - F.col("needed") + 1).cast("int"))
     fine = held.where(F.size("q") >= F.col("needed")).select("p", "v", "differ", F.size("q").alias("held"), F.posexplode(first).alias("at", "token"))
     near = apart.where(F.col("differ") <= 2 * reach).select("p", "v")

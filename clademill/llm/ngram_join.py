@@ -154,7 +154,7 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(doc: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, n, items, sig) of the wanted classes, from one document each; sig counts items by their last bits. A bitmap of
+    """(cls, n, items, sig) of the wanted classes, one row each; sig counts items by their last bits. A bitmap of
     bounded size keeps most other documents' sets from being dealt out for the join that takes exactly the wanted ones."""
     bitmap = _bitmap(wanted)
     bits = len(bitmap) * 8
@@ -166,16 +166,16 @@ def _sets(doc: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             at = batch["at"].to_numpy()
             hit = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             rows = []
-            for i, text in zip(batch["id"][hit], batch["text"][hit], strict=True):
+            for text in batch["text"][hit]:
                 s = sets.of(text)
                 if len(s):
                     sig = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-                    rows.append((i, _digest(s), len(s), s.view(np.int64), sig.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "cls", "n", "items", "sig"])
+                    rows.append((_digest(s), len(s), s.view(np.int64), sig.tobytes()))
+            yield pd.DataFrame(rows, columns=["cls", "n", "items", "sig"])
 
-    built = doc.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")).mapInPandas(build, "id long, cls binary, n long, items array<long>, sig binary")
-    found = built.join(wanted.select(F.col("id").alias("i"), F.col("cls").alias("c")), (F.col("id") == F.col("i")) & (F.col("cls") == F.col("c")), "left_semi")
-    return found.drop("id").dropDuplicates(["cls"])
+    built = doc.select("text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")).mapInPandas(build, "cls binary, n long, items array<long>, sig binary")
+    # each task keeps one row of a class before rows are dealt out by class, once; an inner join, as a semi join would be moved below that
+    return built.dropDuplicates(["cls"]).join(wanted.select(F.col("cls").alias("c")), F.col("cls") == F.col("c")).drop("c")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:

@@ -16,6 +16,8 @@ from ..sources.trees import Node, masks, parse, unrooted, write
 #: Shortest and longest branches: Fixed values, exp(-t) lies between 1e-15 and 1 - 1e-6.
 SHORTEST, LONGEST = 1e-6, 34.5
 _RESCALE = 2.0**256
+#: Numbers (query, pattern, category, state) of a block of placements.
+_AT_ONCE = 1 << 17
 
 
 def tip_vectors(codes: np.ndarray, states: int = 4) -> np.ndarray:
@@ -175,7 +177,8 @@ def evaluate_trees(patterns: DataFrame, trees: DataFrame, names: list[str], mode
 def place(patterns: DataFrame, queries: DataFrame, newick: str, names: list[str], model: Model) -> DataFrame:
     """(query_id, edge, lnl, distal, pendant): each query at each edge of a reference tree (numbered in post order), the new branch and both
     parts of the edge at their best lengths in turn. distal is the part below the query, scaled so that both parts make up the edge again.
-    patterns: (pattern_id, codes, weight); queries: (query_id, codes by pattern_id). Queries are rows, spread over tasks."""
+    patterns: (pattern_id, codes, weight); queries: (query_id, codes by pattern_id). Queries are rows, spread over tasks, and each edge takes
+    as many of them at once as _AT_ONCE allows."""
     rows = patterns.orderBy("pattern_id").select("codes", "weight").collect()  # one reference alignment
     codes = np.array([r["codes"] for r in rows], np.int64).T
     weight = np.array([r["weight"] for r in rows], float)
@@ -187,16 +190,18 @@ def place(patterns: DataFrame, queries: DataFrame, newick: str, names: list[str]
         tree = unrooted(parse(newick))
         edges = [(*_sides(tree, n, tips, model), n.length if n.length is not None else 0.1) for _, n in masks(tree, _Any()) if n is not tree]
         same = np.prod(list(tips.values()), 0)
+        some = max(1, _AT_ONCE // (edges[0][0][0].size or 1))
         for batch in batches:
-            out = []
-            for q, own in zip(batch["query_id"], batch["codes"], strict=True):
-                tip = tip_vectors(np.asarray(own, np.int64))
+            for k in range(0, len(batch), some):
+                q = batch["query_id"].to_numpy()[k : k + some]
+                own = tip_vectors(np.stack([np.asarray(x, np.int64) for x in batch["codes"][k : k + some]]).ravel()).reshape(len(q), len(w), -1)
                 for edge, (below, above, length) in enumerate(edges):
-                    lnl, (low, high, pendant) = _insertion(below, above, tip, length, w, model, same)
-                    out.append((q, edge, lnl, length * low / (low + high), pendant))
-            yield pd.DataFrame(out, columns=["query_id", "edge", "lnl", "distal", "pendant"])
+                    lnl, lengths = _insertions(below, above, own, length, w, model, same)
+                    low, high, pendant = lengths.T
+                    yield pd.DataFrame({"query_id": q, "edge": edge, "lnl": lnl, "distal": length * low / (low + high), "pendant": pendant})
 
-    return queries.select("query_id", "codes").mapInPandas(run, "query_id long, edge int, lnl double, distal double, pendant double")
+    # a row is much work, so few files are dealt out
+    return queries.select("query_id", "codes").repartition("query_id").mapInPandas(run, "query_id long, edge int, lnl double, distal double, pendant double")
 
 
 _Side = tuple[np.ndarray, np.ndarray]
@@ -217,28 +222,64 @@ def _sides(tree: Node, node: Node, tips: dict[str, np.ndarray], model: Model) ->
 def _insertion(
     below: _Side, above: _Side, tip: np.ndarray, length: float, weight: np.ndarray, model: Model, same: np.ndarray
 ) -> tuple[float, tuple[float, float, float]]:
-    """The log likelihood with a tip at an edge, and the lengths below, above and of the tip's branch. same: states that are possible for all
-    tips of the tree at each pattern."""
+    """_insertions() of one tip."""
+    lnl, lengths = _insertions(below, above, tip[None], length, weight, model, same)
+    return float(lnl[0]), tuple(lengths[0].tolist())
+
+
+def _insertions(
+    below: _Side, above: _Side, tips: np.ndarray, length: float, weight: np.ndarray, model: Model, same: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The log likelihood with each of some tips (query, pattern, state) at an edge, and the lengths below, above and of the tip's branch. Each
+    has rounds until one gains less than 0.01. same: states that are possible for all tips of the tree at each pattern."""
     half = min(max(length / 2, SHORTEST), LONGEST)
-    branches = [Node("", half), Node("", half), Node("", 0.1)]
-    vectors = [below[0], above[0], np.repeat(tip[:, None, :], len(model.rates), 1)]
+    lengths, best = np.tile([half, half, 0.1], (len(tips), 1)), np.full(len(tips), -math.inf)
     scaled = below[1] + above[1]
-    constant = (same * tip) @ model.freqs * np.where(scaled > 0, 0, 1)
-    moved = lambda k: np.einsum("cij,pcj->pci", model.transition(branches[k].length), vectors[k])
-    best, before = -math.inf, -math.inf
-    while best == -math.inf or best - before >= 0.01:
-        before = best
+    lost = float(weight @ scaled) * np.log(_RESCALE)
+    constant = (same * tips) @ model.freqs * np.where(scaled > 0, 0, 1)
+    turned = [(v @ model.right.T)[None] for v in (below[0], above[0])] + [(tips @ model.right.T)[:, :, None]]
+    decay = lambda t: np.exp(np.multiply.outer(t, np.multiply.outer(model.rates, model.values)))
+    active = np.arange(len(tips))
+    while len(active):
+        before, t = best[active], lengths[active]
+        vectors, fixed = [*turned[:2], turned[2][active]], constant[active]
+        moved = lambda j: (decay(t[:, j])[:, None] * vectors[j]) @ model.left.T  # noqa: B023, E731
         for k in (2, 0, 1):
-            rest = np.prod([moved(j) for j in range(3) if j != k], 0) * model.freqs
+            i, j = (x for x in range(3) if x != k)
+            # of every pattern: what the branch's exponentials are multiplied with
+            terms = ((moved(i) * moved(j) * model.freqs) @ model.left * vectors[k]).reshape(len(active), len(weight), -1)
 
-            def value(k=k, rest=rest) -> float:
-                site = (rest * moved(k)).sum((1, 2)) / len(model.rates)
+            def value(x: np.ndarray, terms=terms, fixed=fixed) -> np.ndarray:
+                site = (terms @ decay(x).reshape(len(x), -1, 1))[..., 0] / len(model.rates)
                 if model.invariant:
-                    site = (1 - model.invariant) * site + model.invariant * constant
-                return float(weight @ (np.log(np.maximum(site, 1e-300)) - scaled * np.log(_RESCALE)))
+                    site = (1 - model.invariant) * site + model.invariant * fixed
+                return np.log(np.maximum(site, 1e-300)) @ weight - lost
 
-            best = max(best, _line(branches[k], value))
-    return best, tuple(b.length for b in branches)
+            found, t[:, k] = _lines(t[:, k], value)
+            best[active] = np.maximum(best[active], found)
+        lengths[active] = t
+        active = active[best[active] - before >= 0.01]
+    return best, lengths
+
+
+def _lines(kept: np.ndarray, value) -> tuple[np.ndarray, np.ndarray]:
+    """_line() for many branches at once: the best values, and the lengths that have them."""
+    ratio, start = (5**0.5 - 1) / 2, value(kept)
+    low, high = np.full(len(kept), np.log(SHORTEST)), np.full(len(kept), np.log(LONGEST))
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = value(np.exp(a)), value(np.exp(b))
+    while (high - low).max(initial=0) > 0.02:
+        up = fa < fb
+        low, high = np.where(up, a, low), np.where(up, high, b)
+        new = np.where(up, low + ratio * (high - low), high - ratio * (high - low))
+        f = value(np.exp(new))
+        a, fa, b, fb = np.where(up, b, new), np.where(up, fb, f), np.where(up, new, a), np.where(up, f, fa)
+    length = np.exp((low + high) / 2)
+    found = value(length)
+    for end in (SHORTEST, LONGEST):
+        new = value(np.full(len(kept), end))
+        found, length = np.where(new > found, new, found), np.where(new > found, end, length)
+    return np.where(found < start, start, found), np.where(found < start, kept, length)
 
 
 def pair_distances(cell: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clademill.functions.models import jukes_cantor
+from clademill.functions.models import gtr, jukes_cantor
 from clademill.operators import likelihood
 from clademill.sources import trees
 
@@ -67,3 +67,50 @@ def test_placement_optimises_three_branches(spark, reference):
         here.length = low
         parent.children[[c is here for c in parent.children].index(True)] = trees.Node("", high, [here, trees.Node("q", pendant)])
         assert lnl == pytest.approx(likelihood.log_likelihoods(whole, {**tips, "q": tips["1"]}, model).sum(), abs=1e-8)
+
+
+def test_queries_are_placed_together(spark, reference, monkeypatch):
+    """Line searches are for blocks of queries: 30 take no more of them than their slowest one, and each gets what it gets alone."""
+    model = gtr([1, 4, 0.5, 1, 2, 1], [0.3, 0.2, 0.2, 0.3], 0.7, 0.2)
+    tips = {n: likelihood.tip_vectors(c) for n, c in reference.items()}
+    tree = trees.unrooted(trees.parse("(1:0.3,2:0.3,(3:0.3,4:0.3):0.1);"))
+    node = next(n for _, n in trees.masks(tree, likelihood._Any()) if n.name == "2")
+    below, above = likelihood._sides(tree, node, tips, model)
+    same, weight = np.prod(list(tips.values()), 0), np.arange(60) % 3 + 1.0
+    rng = np.random.default_rng(5)
+    codes = np.where(rng.random((30, 60)) < 0.5, reference["2"], rng.integers(1, 16, (30, 60)))
+    own = likelihood.tip_vectors(codes.ravel()).reshape(30, 60, 4)
+    searches, lines = [], likelihood._lines
+    monkeypatch.setattr(likelihood, "_lines", lambda kept, value: searches.append(len(kept)) or lines(kept, value))
+    together, lengths = likelihood._insertions(below, above, own, node.length, weight, model, same)
+    n = len(searches)
+    alone = []
+    for k in range(30):
+        searches.clear()
+        alone.append((likelihood._insertion(below, above, own[k], node.length, weight, model, same)[0], len(searches)))
+    assert n == max(x for _, x in alone) and together == pytest.approx([x for x, _ in alone], abs=1e-9)
+    # the first one again, by one branch after the other on whole trees
+    branches = [trees.Node("2", 0.15), trees.Node("", 0.15), trees.Node("q", 0.1)]
+    middle = trees.Node("", branches[1].length, [branches[0], branches[2]])
+    others = [c for c in tree.children if c is not node]
+    whole, branches[1] = trees.Node("", None, [*others, middle]), middle
+    value = lambda: float(weight @ likelihood.log_likelihoods(whole, {**tips, "q": own[0]}, model))
+    best, before = value(), -np.inf
+    while best - before >= 0.01:
+        before = best
+        for k in (2, 0, 1):
+            best = max(best, likelihood._line(branches[k], value))
+    assert together[0] == pytest.approx(best, abs=0.01) and lengths[0] == pytest.approx([b.length for b in branches], rel=0.05)
+
+
+def test_blocks_of_queries(spark, reference, monkeypatch):
+    """Blocks of two queries give each query a row for each edge, the same as one block does."""
+    patterns = spark.createDataFrame([(k, [int(reference[n][k]) for n in "1234"], 1) for k in range(60)], "pattern_id long, codes array<int>, weight long")
+    rng = np.random.default_rng(6)
+    queries = spark.createDataFrame([(q, (2 ** rng.integers(0, 4, 60)).tolist()) for q in range(7)], "query_id long, codes array<int>")
+    placed = lambda: sorted(likelihood.place(patterns, queries.coalesce(1), "(1:0.3,2:0.3,(3:0.3,4:0.3):0.1);", list("1234"), jukes_cantor()).select("query_id", "edge", "lnl").collect())
+    whole = placed()
+    monkeypatch.setattr(likelihood, "_AT_ONCE", 2 * 60 * 4)
+    for x, y in zip(whole, placed(), strict=True):
+        assert x[:2] == y[:2] and x["lnl"] == pytest.approx(y["lnl"], abs=1e-9)
+    assert [x[:2] for x in whole] == [(q, e) for q in range(7) for e in range(5)]

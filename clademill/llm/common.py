@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch, at most, where small_batches() is called: texts or pairs of sets of some MB.
+BATCH_ROWS = 1000
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -37,6 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to BATCH_ROWS rows; a smaller limit stays. A task holds a batch several times: in the
+    executor's memory beside its heap, as Arrow and as pandas in its Python worker, and workers keep what they once took."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for rows kept from training: crc32 of the id as text, modulo 3, is 1."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

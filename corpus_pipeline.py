@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from clademill.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from clademill.llm.common import shared_dir
+from clademill.llm.common import shared_dir, small_batches
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are scored like any; rows without an id always stay, as no score can be brought to them; rows that repeat an id
     go together if one of them is rejected. Other columns stay as they are.
     """
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -28,6 +29,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 5-word shingles (similarity 0.8) join, those with the least id stay; empty and null texts and
     rows without an id stay. No rows give no rows."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
@@ -40,6 +42,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document, repeats included: number of tokens, and digests of the ids and of the text decoded from them.
     Null texts count as empty."""
+    small_batches(spark)
     return bpe.encode_and_check(docs)
 
 

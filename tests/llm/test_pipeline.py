@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import pandas as pd
 import public_tokenizers
 import pytest
 import tokenizers
 
 import corpus_pipeline
 from clademill.llm import toxicity
+from clademill.llm.common import BATCH_ROWS
 from tests.llm.test_substring_and_join import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +84,23 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near duplicates", "bpe"])
+def test_python_stages_get_small_batches(spark, name):
+    """After a stage is set up, its Python workers get at most BATCH_ROWS rows at once; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(k, f"some words {k}", "en", "web", 12) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"rows": [len(b)]})
+
+    largest = lambda: max(r["rows"] for r in spark.range(0, 2500, 1, 1).mapInPandas(sizes, "rows long").collect())
+    try:
+        for limit, expected in ((10_000, BATCH_ROWS), (300, 300)):
+            spark.conf.set(key, str(limit))
+            dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+            assert largest() == expected
+    finally:
+        spark.conf.unset(key)

@@ -89,7 +89,7 @@ def ngram_components(
     4. Lists whose members are in several components still are cut finer: members that differ from their pivot in few
     items can only be similar if they share some of these differences, so they meet in a list for each (pivot, difference);
     the others stay in their list, for another pivot. Of lists with the same members one is compared, and of two members' common
-    differences only those early enough that enough others may follow bring them together. Lists of up to SHORT members are compared pair by pair, where sizes and
+    differences only those early enough that enough others may follow bring them together; members that none of another component fits go. Lists of up to SHORT members are compared pair by pair, where sizes and
     bucket counts allow a similarity, and so are all lists once these pairs are no more than PAIRS for each class,
     or after ROUNDS rounds.
 
@@ -224,6 +224,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     rest, few, turn = [], PAIRS * pre.count(), 0
     while True:
         full = _mixed_lists(state, facts, labels)
+        full = _with_partners(full, percent) if turn else full
         long = materialize(full.where(F.col("m") > SHORT))
         left = long.agg(F.sum((F.col("m") - 1) / 2)).first()[0] or 0
         last = left <= few or turn == ROUNDS
@@ -236,7 +237,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
         apart = materialize(_differences(placed.select("p", "pn", "v", "n").distinct(), sets, percent))
         links.append(apart.where("similar").select(F.col("p").alias("a"), F.col("v").alias("b")))
         labels = _hints(reduce(DataFrame.union, links))
-        state = materialize(_finer(placed, apart, percent))
+        state = materialize(_finer(placed, apart, labels, percent))
     links.append(_compared(reduce(DataFrame.union, rest).distinct(), sets, percent))
     return components(reduce(DataFrame.union, links))
 
@@ -266,6 +267,21 @@ def _mixed_lists(state: DataFrame, facts: DataFrame, labels: DataFrame) -> DataF
     return materialize(known.drop("p").join(materialize(mixed.select("key", "m")), "key"))
 
 
+def _with_partners(lists: DataFrame, percent: int) -> DataFrame:
+    """The lists without the members whose positions fit no member of another component, by the list's extremes alone. As _all_pairs says, a
+    pair (x, y) needs 2 rest(x) - |d(x)| + reach(x) >= |d(y)|, and the same with x and y exchanged. Lists without positions stay as they are."""
+    lists = lists.withColumn("most", 2 * F.col("rest") - F.col("differ") + _reach(F.col("n"), percent) + 1e-6)
+    each = materialize(lists.groupBy("key", "component").agg(F.min("differ").alias("d"), F.max("most").alias("g")))
+    ends = each.groupBy("key").agg(F.min(F.struct("d", "component")).alias("low"), F.max(F.struct("g", "component")).alias("high"))
+    other = lambda c, end: F.when(F.col("component") != F.col(f"{end}.component"), F.col(c))
+    second = each.join(materialize(ends), "key").groupBy("key", "low", "high").agg(F.min(other("d", "low")).alias("d2"), F.max(other("g", "high")).alias("g2"))
+    near = F.when(F.col("component") == F.col("low.component"), F.col("d2")).otherwise(F.col("low.d"))
+    far = F.when(F.col("component") == F.col("high.component"), F.col("g2")).otherwise(F.col("high.g"))
+    fits = F.col("rest").isNull() | ((F.col("most") >= near) & (F.col("differ") <= far))
+    left = materialize(lists.join(materialize(second), "key").where(fits).select(*[c for c in lists.columns if c not in ("m", "most")]))
+    return materialize(left.join(materialize(left.groupBy("key").agg(F.count(F.lit(1)).alias("m"))), "key"))
+
+
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list's members of different components whose sizes and positions fit: in the list of the first item that two sets of
     differences share, they can share no more items than either has from there on (rest). Lists without positions (null) have no such test."""
@@ -342,17 +358,20 @@ def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInPandas(measure, "p long, pn long, v long, n long, similar boolean, differ long, delta array<long>")
 
 
-def _finer(placed: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+def _finer(placed: DataFrame, apart: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The next lists (key, v, p, differ, rest). Take two similar sets x and y that no link to their list's pivot p joins, and call d the items
     in which a set differs from p: |d(x)| + |d(y)| - 2 |both| is what x and y differ in, at most a reach. So they share items of
     d, at least (|d(x)| - reach(x)) of them; and at least half of |d(x)|, less what p and x differ in size, if x is similar to p and y is not.
     Those within 3 / t reaches of p meet by their rarest shared differences, those beyond 2 reaches stay together: two similar sets
-    are both of the one kind or both of the other. differ is |d(x)|; rest counts the shared differences of x from the list's own on."""
+    are both of the one kind or both of the other. As x and y need comparing in different components only, so do the differences: those that
+    all their holders near p have in one component are left out. differ is |d(x)|; rest counts the shared differences of x from the list's own on."""
     reach, kappa = _reach(F.col("n"), percent), (100 - percent) / (100 + percent)
     needed = F.when(F.col("similar"), (F.col("differ") - kappa * F.abs(F.col("pn") - F.col("n"))) / 2).otherwise(F.col("differ") - reach)
     needed = F.greatest(F.lit(1), F.ceil(needed - 1e-6))
-    token = materialize(apart.select("p", "v", "differ", needed.alias("needed"), F.explode("delta").alias("token")))
-    common = materialize(token.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    known = _labelled(apart.select("p", "v", "differ", needed.alias("needed"), "delta"), labels)
+    token = materialize(known.select("p", "v", "component", "differ", "needed", F.explode("delta").alias("token")))
+    common = token.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("least"), F.max("component").alias("most"))
+    common = materialize(common.where("least < most").select("p", "token", "c"))
     held = token.join(common, ["p", "token"]).groupBy("p", "v", "differ", "needed").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("q"))
     first = F.slice(F.col("q.token"), F.lit(1), (F.size("q") - F.col("needed") + 1).cast("int"))
     fine = held.where(F.size("q") >= F.col("needed")).select("p", "v", "differ", F.size("q").alias("held"), F.posexplode(first).alias("at", "token"))

@@ -208,3 +208,21 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     assert all(r["component_id"] == 7 for r in got) and len(got) == 6
     left = ngram_join.one_of_each(spark.createDataFrame(rows, SCHEMA), words=3, percent=90).collect()
     assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [r for r in rows if r[0] in (7, None)]))
+
+
+def test_members_without_partners_leave_a_large_family(spark, monkeypatch):
+    """Most members of a list of shared differences fit nobody of another component, so further rounds of pivots get few of them."""
+    rows = family(random.Random(7), 260, 100, [1, 2, 4, 6])
+    lists, finer = [], ngram_join._finer
+    monkeypatch.setattr(ngram_join, "_finer", lambda *a: lists.append(ngram_join.materialize(finer(*a))) or lists[-1])
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, SCHEMA), words=5, percent=80).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 5, 80)
+    assert all(x.where("rest is not null").count() <= 4 * len(rows) for x in lists[1:])
+
+
+def test_which_members_have_partners(spark):
+    rows = [("none fits", 1, 100, 1, 10, 3), ("none fits", 2, 100, 2, 40, 30), ("one component", 3, 100, 3, 10, 10), ("one component", 4, 100, 3, 12, 12)]
+    rows += [("two fit", 5, 100, 5, 10, 10), ("two fit", 6, 100, 6, 30, 20), ("two fit", 7, 100, 6, 36, 30), ("no places", 8, 100, 8, None, None), ("no places", 9, 100, 8, None, None)]
+    lists = spark.createDataFrame([(*r, 0) for r in rows], "key string, v long, n long, component long, differ long, rest long, m long")
+    left = ngram_join._with_partners(lists, 80)
+    assert sorted((r["key"], r["v"], r["m"]) for r in left.collect()) == [("no places", 8, 2), ("no places", 9, 2), ("two fit", 5, 2), ("two fit", 6, 2)]

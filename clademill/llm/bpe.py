@@ -21,7 +21,7 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 #: Pieces up to so many bytes are encoded in blocks by rank arrays; longer ones with a heap.
 SHORT = 64
 #: Characters of the documents that are encoded together, and chunks that a worker remembers.
-BLOCK_CHARS, KEEP = 2_000_000, 500_000
+BLOCK_CHARS, KEEP = 500_000, 200_000
 NONE = np.int32(2**31 - 1)
 
 
